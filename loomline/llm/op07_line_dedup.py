@@ -23,26 +23,35 @@ from loomline.llm.common import let, materialize, may_hold, row_key, survivors_b
 
 #: A repeated run has this many words at least.
 MIN_WORDS = 30
+#: Bits of the sieve for single lines (4 MB), and how many of them a line that it names must leave clear.
+SIEVE_BITS = 1 << 24
+SPARSE = 8
 _MARK = "\x1e"
 _KEY = ["key_a", "key_b"]
 
 
 def split_lines(text: Column) -> Column:
-    """The lines of a text; joined they are the text again."""
+    """The lines of a text; joined they are the text again.  Empty lines stay with the line before."""
     text = F.coalesce(text, F.lit(""))
-    marked = F.replace(F.replace(text, F.lit("\n"), F.lit("\n" + _MARK)), F.lit(". "), F.lit(". " + _MARK))
-    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\. )|(?<=\n)")).otherwise(F.split(marked, _MARK))
+    marked = F.replace(F.replace(text, F.lit("\n"), F.lit("\n" + _MARK)), F.lit(_MARK + "\n"), F.lit("\n"))
+    marked = F.replace(marked, F.lit(". "), F.lit(". " + _MARK))
+    # a text that holds the mark itself is cut by a pattern, which is slower
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\. )|(?<=\n)(?!\n)")).otherwise(F.split(marked, _MARK))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: keys of its row, doc_id, pos (gapless), at (of all lines), line hash, words."""
-    lines = F.filter(
-        F.transform(split_lines(F.col("text")), lambda s, i: F.struct(i.alias("at"), F.trim(F.translate(s, "\t\n\x0b\x0c\r", "     ")).alias("s"))),
-        lambda x: x["s"] != "",
-    )
-    return docs.select(*row_key("doc_id", "text"), "doc_id", F.posexplode(lines).alias("pos", "x")).select(
-        *_KEY, "doc_id", "pos", "x.at", F.xxhash64("x.s").alias("line"), word_count(F.col("x.s")).alias("words")
-    )
+    """One row per line: keys of its row, doc_id, pos, line hash, words (a line without any counts as one).
+
+    White space at either end of a line does not count.  Words end at spaces; where two
+    spaces meet they are counted by a pattern.
+    """
+    # in a projection of their own: beside the generator they would be computed for each line
+    rows = docs.select(*row_key("doc_id", "text"), "doc_id", split_lines(F.col("text")).alias("lines"))
+    lines = rows.select(*_KEY, "doc_id", F.posexplode("lines").alias("pos", "s"))
+    lines = lines.withColumn("s", F.btrim("s", F.lit(" \t\n\x0b\x0c\r")))
+    spaces = F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit("")))
+    words = F.when(F.contains("s", F.lit("  ")), F.greatest(word_count(F.col("s")), F.lit(1))).otherwise((spaces + 1).cast("long"))
+    return lines.select(*_KEY, "doc_id", "pos", F.xxhash64("s").alias("line"), words.alias("words"))
 
 
 def _names(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -53,14 +62,21 @@ def _names(pairs: DataFrame, *columns: str) -> DataFrame:
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """The repeated windows of just ``min_words`` words or more: keys, doc_id, pos, n, at, at_end, and two ranks."""
+    """The repeated windows of just ``min_words`` words or more: keys, doc_id, pos, n and two ranks."""
     seen = materialize(lines.groupBy("line").count().where("count > 1").select("line"), "lines-twice")
-    flagged = may_hold(lines, "line", survivors_bitmap(seen, "line"))
-    active = materialize(flagged.join(seen, "line"), "lines-active")
+    active = may_hold(lines, "line", survivors_bitmap(seen, "line", SIEVE_BITS), SIEVE_BITS)
+    if SPARSE * seen.count() > SIEVE_BITS:
+        # too full a sieve lets many single lines through: harmless, as their windows occur once, but dear
+        active = active.join(seen, "line")
+    active = materialize(active, "lines-active")
 
-    # stretches of repeated lines without a gap
+    # stretches of repeated lines without a gap; rows with equal keys are one text
     by_pos = Window.partitionBy(*_KEY).orderBy("pos")
-    active = active.dropDuplicates([*_KEY, "pos"]).withColumn("island", F.col("pos") - F.row_number().over(by_pos))
+    active = (
+        active.withColumn("again", F.coalesce(F.lag("pos").over(by_pos) == F.col("pos"), F.lit(False)))
+        .withColumn("island", F.col("pos") - F.dense_rank().over(by_pos))
+        .where("not again")
+    )
     island = Window.partitionBy(*_KEY, "island")
     order = island.orderBy("pos")
     active = (
@@ -71,26 +87,30 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     reach = island.orderBy("before").rangeBetween(0, min_words - 1)
     enough = F.col("all_words") - F.col("before") >= min_words
     current = materialize(
-        active.select(*_KEY, "doc_id", "pos", "at", F.last("at").over(reach).alias("at_end"),
-                      F.when(enough, F.count("*").over(reach)).otherwise(0).cast("int").alias("n"), F.col("line").alias("name")),
+        active.select(*_KEY, "doc_id", "pos", F.when(enough, F.count("*").over(reach)).otherwise(0).cast("int").alias("n"), F.col("line").alias("name")),
         "lines-level",
     )
 
     found, size = None, 1
+    row = Window.partitionBy(*_KEY).orderBy("pos")
+    ahead = lambda steps: F.get(F.filter("near", lambda x: x["pos"] == F.col("pos") + steps), 0)["name"]
     while True:
-        near = Window.partitionBy(*_KEY).orderBy("pos").rangeBetween(0, size)
-        ahead = lambda steps: F.get(F.filter("near", lambda x: x["pos"] == F.col("pos") + steps), 0)["name"]
-        level = current.withColumn("near", F.collect_list(F.struct("pos", "name")).over(near))
-        level = level.withColumn("last", F.when(F.col("n").between(size, 2 * size - 1), ahead(F.col("n") - size)))
-        level = level.withColumn("second", ahead(F.lit(size))).drop("near")
-        ended = level.where(F.col("last").isNotNull()).select(*_KEY, "doc_id", "pos", "n", "at", "at_end", F.col("name").alias("first"), "last")
+        ended = F.col("n").between(size, 2 * size - 1)
+        level = current.withColumn("second", F.first("name").over(row.rangeBetween(size, size)))
+        if size == 1:
+            level = level.withColumn("last", F.when(ended, F.col("name")))
+        else:
+            near = F.collect_list(F.struct("pos", "name")).over(row.rangeBetween(0, size - 1))
+            level = level.withColumn("near", near).withColumn("last", F.when(ended, ahead(F.col("n") - size))).drop("near")
+        if 2 * size <= min_words:
+            # a longer window is of use only at or after the start of a run that long
+            longest = F.max("n").over(row.rangeBetween(-min_words, 0))
+            level = materialize(level.withColumn("second", F.when(longest >= 2 * size, F.col("second"))), "lines-pairs")
+        whole = level.where(F.col("last").isNotNull()).select(*_KEY, "doc_id", "pos", "n", F.col("name").alias("first"), "last")
+        found = whole if found is None else found.unionByName(whole)
         if 2 * size > min_words:
-            found = ended if found is None else found.unionByName(ended)
             return found
-        level = materialize(level, "lines-pairs")
-        ended = level.where(F.col("last").isNotNull()).select(*_KEY, "doc_id", "pos", "n", "at", "at_end", F.col("name").alias("first"), "last")
-        found = ended if found is None else found.unionByName(ended)
-        pairs = level.where(F.col("second").isNotNull()).select(*_KEY, "doc_id", "pos", "at", "at_end", "n", F.col("name").alias("left"), "second")
+        pairs = level.where(F.col("second").isNotNull()).select(*_KEY, "doc_id", "pos", "n", F.col("name").alias("left"), "second")
         names = _names(pairs, "left", "second")
         current = materialize(pairs.join(names, ["left", "second"]).drop("left", "second"), "lines-level")
         size *= 2
@@ -109,7 +129,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     firsts = windows.groupBy(*interval).agg(F.min(place).alias("p"), F.count("*").alias("copies")).where("copies > 1")
     firsts = materialize(firsts.select(*interval, F.col("p.key_a").alias("a"), F.col("p.key_b").alias("b"), F.col("p.pos").alias("p")), "lines-firsts")
     same = (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b"))
-    later = windows.join(firsts, interval).where(~same | (F.col("pos") >= F.col("p") + F.col("n"))).select(*_KEY, "at", "at_end")
+    later = windows.join(firsts, interval).where(~same | (F.col("pos") >= F.col("p") + F.col("n"))).select(*_KEY, F.col("pos").alias("at"), (F.col("pos") + F.col("n") - 1).alias("at_end"))
 
     # overlapping windows become one range before they are gathered, so a row gets few
     row = Window.partitionBy(*_KEY).orderBy("at", "at_end")
