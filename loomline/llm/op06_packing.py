@@ -75,9 +75,21 @@ class Encoder:
                 yield b"".join([known[p] for p in pieces])
 
 
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker process: pieces known from one task serve the next."""
+    import sys
+    from types import ModuleType
+
+    held = sys.modules.setdefault("_loomline_worker", ModuleType("_loomline_worker"))
+    encoders = held.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
+
+
 def _tokenized(path: str, capacity: int):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             ids = batch.column(0)
             at, piece, start, length, crc = [], [], [], [], []
