@@ -8,6 +8,7 @@ groups meet, and are packed best-fit again.  Every level is written out before i
 from __future__ import annotations
 
 import re
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -38,41 +39,57 @@ _SETTLED = re.compile("[\x00-\x1b\x20-ɏ‐-‧€]*")
 class Encoder:
     """Token ids as little-endian 32-bit octets, the same as the tokenizer's own.
 
-    The vocabulary splits a text into pieces and encodes each by itself, so a piece is
-    encoded once and remembered.  Texts with other characters, or with the name of a
+    The vocabulary splits a text into pieces and merges each by itself, so a piece is
+    encoded once, by the merges of the same file, and remembered.  Texts with other characters, or with the name of a
     special token, go to the tokenizer whole.
     """
 
     LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        # in this vocabulary an id is the rank of its merge, so the merges follow from the ids
+        octet = _octets_of_letters()
+        ranks = {bytes(octet[c] for c in token): i for token, i in vocab.items() if all(c in octet for c in token)}
+        ranks = {k: v for k, v in ranks.items() if v < len(vocab) and k != b"<|endoftext|>"}
+        self.merges = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
-    def _octets(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.merges.encode_ordinary(piece)).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]):
         """The octets of each text, one after the other."""
+        known, piece = self.known, self._piece
         for text in texts:
             if not _SETTLED.fullmatch(text) or "<|" in text:
-                yield self._octets([text])[0]
+                yield self._whole(text)
                 continue
             pieces = _PIECES.findall(text)
-            known = self.known
-            try:
-                yield b"".join([known[p] for p in pieces])
-            except KeyError:
-                if len(known) > self.LIMIT:
-                    known.clear()
-                fresh = list({p for p in pieces if p not in known})
-                known.update(zip(fresh, self._octets(fresh), strict=True))
-                yield b"".join([known[p] for p in pieces])
+            if len(known) > self.LIMIT:
+                known.clear()
+            for p in set(pieces).difference(known):
+                known[p] = piece(p)
+            yield b"".join(map(known.__getitem__, pieces))
+
+
+def _octets_of_letters() -> dict[str, int]:
+    """The letters by which the vocabulary writes octets: printable ones themselves, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 def _encoder(path: str) -> Encoder:
