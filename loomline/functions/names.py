@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 from loomline.plans.config import SemanticConfig
 
@@ -45,7 +46,7 @@ def transliterate(text: Column) -> Column:
     return F.translate(text, *_accents())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _compose(text: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, form, strict=True)])
 
@@ -172,12 +173,12 @@ def _pairwise(measure, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known.get(p) for p in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(jaro_winkler, a, b)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def damerau_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(damerau_levenshtein, a, b)
 
@@ -215,8 +216,8 @@ def semantic_score(a: Column, b: Column, config: SemanticConfig) -> Column:
     not counts only where it is; measured evidence counts always.
     """
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
-    exact = yes((a["sem"] == b["sem"]) & (a["sem"] != ""))
-    plural = yes((a["morph"] == b["morph"]) & (F.size(a["morph"]) > 0))
+    exact = yes(a["sem"] == b["sem"])  # two names of which nothing is left are equal too
+    plural = yes(a["morph"] == b["morph"])
     synonym = yes(has_synonym(a["groups"], b["groups"])) if config.synonyms else F.lit(0.0)
     token = set_similarity(a["morph"], b["morph"], config.token_metric)
     fuzzy = fuzzy_similarity(a["sem"], b["sem"], config.fuzzy_algorithm)
