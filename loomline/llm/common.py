@@ -60,6 +60,17 @@ def _release_all() -> None:
         release(_written[-1][0])
 
 
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """Only the columns ``keep``, and all others as one struct ``_rest``: no name can clash with those of an operator."""
+    rest = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("_rest"))
+
+
+def unpacked(columns: list[str], *keep: str) -> list[Column]:
+    """The columns of before ``packed``, in their order."""
+    return [F.col(c) if c in keep else F.col("_rest").getField(c).alias(c) for c in columns]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

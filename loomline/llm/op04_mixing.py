@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.common import let, located, materialize, permuted, row_key, word_count
+from loomline.llm.common import let, located, materialize, packed, permuted, row_key, unpacked, word_count
 
 SEED = 7
 
@@ -202,7 +202,8 @@ def mixed_texts(docs: DataFrame, settings: MixSettings = MixSettings(), seed: in
 
     The k-th copy of a row has the words of its blocks that the mix uses k times or more,
     with the white space that follows each.  Columns stay those of the input, n_chars is
-    recomputed.  Needs columns doc_id, text, source and n_chars.
+    recomputed.  Needs columns doc_id, text, source and n_chars; of rows with equal id, text
+    and source one stands for all, and other columns pass through whatever their names.
     """
     pieces, _ = mixed_pieces(docs, settings, seed)
     # equal rows are told apart by the place alone, so their plans are dealt out in its order
@@ -214,7 +215,8 @@ def mixed_texts(docs: DataFrame, settings: MixSettings = MixSettings(), seed: in
         .withColumn("plan", F.filter("plan", lambda p: p["uses"] >= F.col("copy")))
         .select("key_a", "key_b", "plan")
     )
-    once = docs.select(*docs.columns, *row_key("doc_id", "text", "source")).dropDuplicates(["key_a", "key_b"])
+    own = ["doc_id", "text", "source", "n_chars"]
+    once = packed(docs, *own).select("*", *row_key("doc_id", "text", "source")).dropDuplicates(["key_a", "key_b"])
     whole = F.expr("size(plan) > 0 and plan[0].first = 0 and aggregate(plan, 0L, (a, p) -> a + p.words) = _words")
     tokens = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)")
 
@@ -224,7 +226,7 @@ def mixed_texts(docs: DataFrame, settings: MixSettings = MixSettings(), seed: in
 
     joined = once.join(plans, ["key_a", "key_b"]).withColumn("_words", word_count(F.col("text")))
     text = F.when(whole, F.col("text")).otherwise(let(tokens, cut))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*unpacked(docs.columns, *own))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

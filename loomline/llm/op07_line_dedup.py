@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.common import let, materialize, may_hold, row_key, survivors_bitmap, word_count
+from loomline.llm.common import let, materialize, may_hold, packed, row_key, survivors_bitmap, unpacked, word_count
 
 #: A repeated run has this many words at least.
 MIN_WORDS = 30
@@ -149,14 +149,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Rows with the same doc_id and text are one document and keep the same text.  Null and
     empty texts are unchanged, as is every text without a repeated run.  White space left
     at the end of a shortened text is trimmed.  An empty table gives an empty result.  Needs
-    columns doc_id and text; others pass through, but ``cuts``, ``key_a`` and ``key_b`` must
-    not be among them.
+    columns doc_id and text; all others pass through, whatever their names, but for one named
+    ``deleted_lines``, which is replaced.
     """
-    cuts = later_copies(docs, min_words)
-    keyed = docs.select(*docs.columns, *row_key("doc_id", "text"))
+    cuts = later_copies(docs.select("doc_id", "text"), min_words)
+    names = [c for c in docs.columns if c != "deleted_lines"]
+    columns = unpacked(names, "doc_id", "text")
+    keyed = packed(docs.select(*[F.col(f"`{c}`") for c in names]), "doc_id", "text").select("*", *row_key("doc_id", "text"))
     # rows that surely have no copies pass without a shuffle of their text
     holding = survivors_bitmap(cuts, "key_a")
-    left = may_hold(keyed, "key_a", holding, keep=False).select(*docs.columns, F.lit(0).cast("long").alias("deleted_lines"))
+    left = may_hold(keyed, "key_a", holding, keep=False).select(*columns, F.lit(0).cast("long").alias("deleted_lines"))
     held = may_hold(keyed, "key_a", holding).join(cuts, _KEY, "left")
     begins = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["at_end"] + 1))
     ends = F.concat(F.transform("cuts", lambda c: c["at"]), F.array(F.size(split_lines(F.col("text")))))
@@ -166,7 +168,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + c["at_end"] - c["at"] + 1)
     shortened = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.rtrim(F.regexp_replace(rest, r"[\x20\x09-\x0D]+$", "")))
     cut = held.withColumn("text", shortened).withColumn("deleted_lines", F.coalesce(gone, F.lit(0).cast("long")))
-    return left.unionByName(cut.select(*docs.columns, "deleted_lines"))
+    return left.unionByName(cut.select(*columns, "deleted_lines"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

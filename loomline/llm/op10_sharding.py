@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.common import materialize
+from loomline.llm.common import materialize, packed, unpacked
 
 SEED = 20240917
 #: Rows that one task ranks at once, about; a shard's permutation is made in pieces of this size.
@@ -58,12 +58,14 @@ def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
 def shuffled_shards(rows: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """``rows`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
 
-    Every row goes to exactly one place, repeated rows too.  Columns of the input named
-    ``shard`` or ``slot`` are not allowed.  An empty input gives an empty result.
+    Every row goes to exactly one place, repeated rows too.  Columns may have any names but
+    ``shard`` and ``slot``.  An empty input gives an empty result.
     """
-    spark = rows.sparkSession
+    if {"shard", "slot"} & set(rows.columns):
+        raise ValueError("the result has columns shard and slot of its own")
+    spark, columns = rows.sparkSession, rows.columns
     # the numbering is written once: partition and row in it stay as they are from here on
-    numbered = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
+    numbered = materialize(packed(rows).withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
     source = F.shiftrightunsigned("_row", 33)
     # parts so small that one task can rank them, and so many that none is hot
     part = F.concat_ws(":", source, F.floor(F.col("_row").bitwiseAND((1 << 33) - 1) / PIECE_ROWS))
@@ -79,7 +81,8 @@ def shuffled_shards(rows: DataFrame, shards: int, seed: int = SEED) -> DataFrame
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(chance, "_row"))
     local = numbered.withColumn("_rank", rank).join(dealt, "_part")
     placed = local.withColumn("shard", F.size(F.filter("_bounds", lambda b: b < F.col("_rank"))).cast("int"))
-    return _permute_shards(placed.drop("_part", "_rank", "_bounds"), sum(r["count"] for r in sizes), shards, seed)
+    done = _permute_shards(placed.drop("_part", "_rank", "_bounds"), sum(r["count"] for r in sizes), shards, seed)
+    return done.select(*unpacked(columns), "shard", "slot")
 
 
 def _permute_shards(placed: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
