@@ -42,10 +42,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that ``materialize`` wrote; call it once no result needs them."""
-    while _written:
-        session, path = _written.pop()
+def scratch_tables() -> list[tuple[SparkSession, str]]:
+    """The tables that ``materialize`` wrote and nothing released yet, in their order."""
+    return list(_written)
+
+
+def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete these tables of ``scratch_tables()``, or all; call it once no result needs them."""
+    for table in scratch_tables() if tables is None else tables:
+        if table not in _written:
+            continue
+        _written.remove(table)
+        session, path = table
         try:
             jvm = session.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,10 +62,7 @@ def release(spark: SparkSession) -> None:
             return
 
 
-@atexit.register
-def _release_all() -> None:
-    if _written:
-        release(_written[-1][0])
+atexit.register(release)
 
 
 def packed(df: DataFrame, *keep: str) -> DataFrame:
@@ -93,9 +98,10 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
 
 
 def row_key(*columns: str) -> list[Column]:
-    """Two independent 64-bit hashes that name a row by these columns."""
+    """Two independent 64-bit hashes that name a row by these columns; which of them are null counts too."""
     cols = [F.col(c) for c in columns]
-    return [F.xxhash64(F.lit(11), *cols).alias("key_a"), F.xxhash64(F.lit(23), *cols[::-1]).alias("key_b")]
+    none = [c.isNull() for c in cols]  # a hash passes nulls over
+    return [F.xxhash64(F.lit(11), *cols, *none).alias("key_a"), F.xxhash64(F.lit(23), *cols[::-1], *none).alias("key_b")]
 
 
 def permuted(index: Column, size: Column, salt: Column, rounds: int = 16) -> Column:

@@ -368,7 +368,22 @@ def test_pipeline(spark, docs, tmp_path):
         path = f"{tmp_path}/out-{name}"
         current.write.parquet(path)
         current = spark.read.parquet(path)
+    # a second call of a stage leaves the first result readable, and the whole pipeline that of other queries
+    from loomline.llm.op03_exact_dedup import exact_groups
+
+    first, second = (corpus_pipeline.near_dedup(spark, docs, str(tmp_path)) for _ in range(2))
+    assert first.count() == second.count() > 0
+    other = exact_groups(docs)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert other.count() == docs.count()
+
+
+def test_row_keys_tell_null_columns_apart(spark):
+    from loomline.llm.common import row_key
+
+    rows = [(None, "x", None), (None, None, "x"), ("x", None, None), (None, None, None), ("", None, None)]
+    made = spark.createDataFrame(rows, "a string, b string, c string").select(*row_key("a", "b", "c"))
+    assert made.distinct().count() == made.select("key_a").distinct().count() == len(rows)
 
 
 def test_registry_matches_entry(spark):
