@@ -6,30 +6,48 @@ sort over them, and pairs of entities never mix.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from functools import cached_property, lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import names
 from loomline.functions.types import compare_types, type_name
 from loomline.ir import Frames
-from loomline.plans.config import CompareConfig
+from loomline.plans.config import CompareConfig, SemanticConfig
 
 PAIR = ["entity_a", "entity_b"]
 
 
-def prepared(df: DataFrame, name: str, config: CompareConfig) -> DataFrame:
-    """``df`` with ``n``: the normal forms of a name, each made once per name, before any pairing."""
-    sem = config.semantic
+def _context() -> str:
+    return SparkContext._active_spark_context.applicationId
+
+
+# Building an expression costs thousands of calls to the JVM, and Columns never change: each
+# is built once per context and settings.
+
+
+@lru_cache(maxsize=64)
+def _forms(context: str, name: str, sem: SemanticConfig) -> tuple[Column, Column, Column]:
     tokens = names.semantic_tokens(F.col(name), sem) if sem.enabled else F.array().cast("array<string>")
-    df = df.withColumn("_tokens", tokens)
-    df = df.withColumn("_morph", names.morph_tokens(F.col("_tokens"), sem))
     n = F.struct(
         F.col(name).alias("raw"), names.normalize_identifier(F.col(name)).alias("norm"), F.array_join("_tokens", " ").alias("sem"),
         F.col("_morph").alias("morph"), names.synonym_groups(F.col("_morph"), sem).alias("groups"),
     )
-    return df.withColumn("n", n).drop("_tokens", "_morph")
+    return tokens, names.morph_tokens(F.col("_tokens"), sem), n
+
+
+@lru_cache(maxsize=64)
+def _score(context: str, sem: SemanticConfig) -> Column:
+    return names.semantic_score(F.col("n_a"), F.col("n_b"), sem)
+
+
+def prepared(df: DataFrame, name: str, config: CompareConfig) -> DataFrame:
+    """``df`` with ``n``: the normal forms of a name, each made once per name, before any pairing."""
+    tokens, morph, n = _forms(_context(), name, config.semantic)
+    return df.withColumn("_tokens", tokens).withColumn("_morph", morph).withColumn("n", n).drop("_tokens", "_morph")
 
 
 def _keys(n: Column, config: CompareConfig) -> Column:
@@ -86,7 +104,7 @@ def reasons(config: CompareConfig) -> Column:
 
 def _matched(pairs: DataFrame, config: CompareConfig) -> DataFrame:
     if config.semantic.enabled:
-        pairs = pairs.withColumn("sem_score", names.semantic_score(F.col("n_a"), F.col("n_b"), config.semantic))
+        pairs = pairs.withColumn("sem_score", _score(_context(), config.semantic))
     found = pairs.withColumn("m", reasons(config)).where("m is not null")
     shown = F.when(F.col("m.reason") == "normalized_name", F.col("n_a.norm")).otherwise(F.col("n_a.raw"))
     return found.withColumns({"name": shown, "reason": F.col("m.reason"), "score": F.col("m.score"), "decision": F.col("m.decision")}).drop("m")
@@ -96,27 +114,6 @@ def _side(df: DataFrame, side: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{side}") for c in df.columns])
 
 
-@dataclass
-class Comparison:
-    """The relations of a comparison; ``all_matches`` has one row per matched entity (field null) or field."""
-
-    a: Frames
-    b: Frames
-    config: CompareConfig
-    entity_matches: DataFrame
-    field_matches: DataFrame
-    conflicts: DataFrame
-    exclusives: DataFrame
-    unified_entities: DataFrame
-    unified_fields: DataFrame
-
-    @property
-    def all_matches(self) -> DataFrame:
-        e = self.entity_matches.select(*PAIR, "entity_name", F.lit(None).cast("string").alias("field_name"), "reason", "decision", "score", F.col("entity_a").alias("index_a"), F.col("entity_b").alias("index_b"))
-        f = self.field_matches.select(*PAIR, "entity_name", "field_name", "reason", "decision", "score", "index_a", "index_b")
-        return e.unionByName(f)
-
-
 def match_entities(a: Frames, b: Frames, config: CompareConfig) -> DataFrame:
     """entity_a, entity_b, entity_name, reason, decision, score; many to many."""
     left = _side(prepared(a.entities, "entity_name", config), "a")
@@ -188,46 +185,106 @@ def collisions(unmatched: DataFrame) -> DataFrame:
     )
 
 
-def compare(a: Frames, b: Frames, config: CompareConfig = CompareConfig()) -> Comparison:
-    pairs = match_entities(a, b, config)
-    matches = match_fields(pairs, a, b, config)
-    slim = matches.select(*PAIR, "index_a", "index_b")
-    only_a, only_b = _unmatched(pairs, slim, a, "a"), _unmatched(pairs, slim, b, "b")
-    found = conflicts(matches, config)
-    if config.detect_collisions:
-        found = found.unionByName(collisions(only_a.unionByName(only_b)))
-
-    alone = []
-    for frames, side in ((a, "a"), (b, "b")):
-        left = frames.entities.join(pairs.select(F.col(f"entity_{side}").alias("entity_idx")), "entity_idx", "left_anti")
-        alone.append(left.select("entity_idx", "entity_name", "entity_type", F.lit(side.upper()).alias("side")))
-    whole = alone[0].unionByName(alone[1])
-    none = F.lit(None)
-    exclusives = only_a.unionByName(only_b).select(*PAIR, "entity_name", "field_name", "side", "index", F.lit(True).alias("safe_to_add")).unionByName(
-        whole.select(none.cast("int").alias("entity_a"), none.cast("int").alias("entity_b"), "entity_name", none.cast("string").alias("field_name"), "side", F.col("entity_idx").alias("index"), F.lit(True).alias("safe_to_add"))
-    )
+class Comparison:
+    """The relations of a comparison, each planned when it is first asked for.
 
-    # the definition of A holds; whether a match is in conflict follows from its indices
-    bad = found.where("stage = 0").select(*PAIR, "index_a", "index_b").distinct().withColumn("bad", F.lit(True))
-    both = matches.join(bad, [*PAIR, "index_a", "index_b"], "left").select(
-        *PAIR, F.col("field_name_a").alias("field_name"), F.col("type_a").alias("type"), F.col("nullable_a").alias("nullable"), F.lit("BOTH").alias("origin"),
-        F.when(F.col("bad"), "conflicted").otherwise("matched").alias("state"), "index_a", "index_b", F.lit(0).alias("part"),
-    )
-    parts = [both]
-    for own, side, part in ((only_a, "a", 1), (only_b, "b", 2)):
-        other = "b" if side == "a" else "a"
-        parts.append(own.select(*PAIR, "field_name", "type", "nullable", F.lit(side.upper()).alias("origin"), F.lit("exclusive").alias("state"), F.col("index").alias(f"index_{side}"), none.cast("int").alias(f"index_{other}"), F.lit(part).alias("part")))
-        frames = a if side == "a" else b
-        lonely = frames.fields.join(whole.where(F.col("side") == side.upper()).select("entity_idx"), "entity_idx")
-        parts.append(lonely.select(F.col("entity_idx").alias(f"entity_{side}"), none.cast("int").alias(f"entity_{other}"), "field_name", "type", "nullable", F.lit(side.upper()).alias("origin"), F.lit("exclusive").alias("state"), F.col("field_idx").alias(f"index_{side}"), none.cast("int").alias(f"index_{other}"), F.lit(part).alias("part")))
-    fields = parts[0]
-    for p in parts[1:]:
-        fields = fields.unionByName(p)
-    merged = pairs.join(a.entities.select(F.col("entity_idx").alias("entity_a"), F.col("entity_name").alias("own"), "entity_type"), "entity_a")
-    entities = merged.select(*PAIR, F.col("own").alias("entity_name"), "entity_type", F.lit("BOTH").alias("origin")).unionByName(
-        whole.select(F.when(F.col("side") == "A", F.col("entity_idx")).alias("entity_a"), F.when(F.col("side") == "B", F.col("entity_idx")).alias("entity_b"), "entity_name", "entity_type", F.col("side").alias("origin"))
-    )
-    return Comparison(a, b, config, pairs, matches, found, exclusives, entities, fields)
+    ``all_matches`` has one row per matched entity (field null) or field.
+    """
+
+    def __init__(self, a: Frames, b: Frames, config: CompareConfig = CompareConfig()) -> None:
+        self.a, self.b, self.config = a, b, config
+        self._held: list[DataFrame] = []
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """A relation of a schema's size that is used many times, computed once.
+
+        A number of its own tells it apart, so that no later comparison takes it for its own,
+        even where a catalog has changed between the two.
+        """
+        held = df.withColumn("_run", F.lit(uuid.uuid4().hex)).persist()
+        self._held.append(held)
+        return held.drop("_run")
+
+    @cached_property
+    def entity_matches(self) -> DataFrame:
+        return self._kept(match_entities(self.a, self.b, self.config))
+
+    @cached_property
+    def field_matches(self) -> DataFrame:
+        return self._kept(match_fields(self.entity_matches, self.a, self.b, self.config))
+
+    @cached_property
+    def all_matches(self) -> DataFrame:
+        e = self.entity_matches.select(*PAIR, "entity_name", F.lit(None).cast("string").alias("field_name"), "reason", "decision", "score", F.col("entity_a").alias("index_a"), F.col("entity_b").alias("index_b"))
+        f = self.field_matches.select(*PAIR, "entity_name", "field_name", "reason", "decision", "score", "index_a", "index_b")
+        return e.unionByName(f)
+
+    @cached_property
+    def _only(self) -> dict[str, DataFrame]:
+        slim = self.field_matches.select(*PAIR, "index_a", "index_b")
+        return {"a": _unmatched(self.entity_matches, slim, self.a, "a"), "b": _unmatched(self.entity_matches, slim, self.b, "b")}
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        found = conflicts(self.field_matches, self.config)
+        if self.config.detect_collisions:
+            found = found.unionByName(collisions(self._only["a"].unionByName(self._only["b"])))
+        return found
+
+    @cached_property
+    def _alone(self) -> DataFrame:
+        """Entities that no entity of the other side matches."""
+        alone = []
+        for frames, side in ((self.a, "a"), (self.b, "b")):
+            left = frames.entities.join(self.entity_matches.select(F.col(f"entity_{side}").alias("entity_idx")), "entity_idx", "left_anti")
+            alone.append(left.select("entity_idx", "entity_name", "entity_type", F.lit(side.upper()).alias("side")))
+        return alone[0].unionByName(alone[1])
+
+    @cached_property
+    def exclusives(self) -> DataFrame:
+        none = F.lit(None)
+        fields = self._only["a"].unionByName(self._only["b"]).select(*PAIR, "entity_name", "field_name", "side", "index", F.lit(True).alias("safe_to_add"))
+        return fields.unionByName(
+            self._alone.select(none.cast("int").alias("entity_a"), none.cast("int").alias("entity_b"), "entity_name", none.cast("string").alias("field_name"), "side", F.col("entity_idx").alias("index"), F.lit(True).alias("safe_to_add"))
+        )
+
+    @cached_property
+    def unified_fields(self) -> DataFrame:
+        """The definition of A holds; whether a match is in conflict follows from its indices."""
+        none, whole = F.lit(None), self._alone
+        bad = self.conflicts.where("stage = 0").select(*PAIR, "index_a", "index_b").distinct().withColumn("bad", F.lit(True))
+        both = self.field_matches.join(bad, [*PAIR, "index_a", "index_b"], "left").select(
+            *PAIR, F.col("field_name_a").alias("field_name"), F.col("type_a").alias("type"), F.col("nullable_a").alias("nullable"), F.lit("BOTH").alias("origin"),
+            F.when(F.col("bad"), "conflicted").otherwise("matched").alias("state"), "index_a", "index_b", F.lit(0).alias("part"),
+        )
+        parts = [both]
+        for side, part in (("a", 1), ("b", 2)):
+            own = self._only[side]
+            other = "b" if side == "a" else "a"
+            parts.append(own.select(*PAIR, "field_name", "type", "nullable", F.lit(side.upper()).alias("origin"), F.lit("exclusive").alias("state"), F.col("index").alias(f"index_{side}"), none.cast("int").alias(f"index_{other}"), F.lit(part).alias("part")))
+            frames = self.a if side == "a" else self.b
+            lonely = frames.fields.join(whole.where(F.col("side") == side.upper()).select("entity_idx"), "entity_idx")
+            parts.append(lonely.select(F.col("entity_idx").alias(f"entity_{side}"), none.cast("int").alias(f"entity_{other}"), "field_name", "type", "nullable", F.lit(side.upper()).alias("origin"), F.lit("exclusive").alias("state"), F.col("field_idx").alias(f"index_{side}"), none.cast("int").alias(f"index_{other}"), F.lit(part).alias("part")))
+        fields = parts[0]
+        for p in parts[1:]:
+            fields = fields.unionByName(p)
+        return fields
+
+    @cached_property
+    def unified_entities(self) -> DataFrame:
+        merged = self.entity_matches.join(self.a.entities.select(F.col("entity_idx").alias("entity_a"), F.col("entity_name").alias("own"), "entity_type"), "entity_a")
+        return merged.select(*PAIR, F.col("own").alias("entity_name"), "entity_type", F.lit("BOTH").alias("origin")).unionByName(
+            self._alone.select(F.when(F.col("side") == "A", F.col("entity_idx")).alias("entity_a"), F.when(F.col("side") == "B", F.col("entity_idx")).alias("entity_b"), "entity_name", "entity_type", F.col("side").alias("origin"))
+        )
+
+    def release(self) -> None:
+        """Let go of the kept matches; results that are read later compute them again."""
+        while self._held:
+            self._held.pop().unpersist()
+
+
+def compare(a: Frames, b: Frames, config: CompareConfig = CompareConfig()) -> Comparison:
+    return Comparison(a, b, config)
 
 
 def best_matches(matches: DataFrame, scope: list[str], a: str, b: str) -> DataFrame:

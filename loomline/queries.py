@@ -7,6 +7,7 @@ rules that both engines can state.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ BY_NAME = CompareConfig(semantic=SemanticConfig(enabled=False))
 
 
 def schema_a(spark: SparkSession, sf_dir: str) -> Frames:
-    source = from_dataframes({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}, "tables")
+    with ThreadPoolExecutor(len(TABLES)) as pool:  # each reads a footer, so they wait side by side
+        tables = list(pool.map(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), TABLES))
+    source = from_dataframes(dict(zip(TABLES, tables, strict=True)), "tables")
     frames = source.frames(spark)
     return Frames("a", frames.entities, frames.fields.withColumn("nullable", F.col("field_idx") % 2 == 1))
 
