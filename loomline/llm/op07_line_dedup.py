@@ -5,12 +5,14 @@ full stop and space, so a passage is found whatever it was pasted behind.  Lines
 once cannot be part of a repeated run and leave at once, as do stretches of repeated lines
 with too few words.  Prefix doubling then ranks the windows of 1, 2, 4, ... lines at each
 position: a window's rank comes from the sorted pairs of ranks of its halves, and windows
-that occur once leave.  A run that matters begins with the shortest window of at least
-``min_words`` words, n lines; suffixes that share their first n lines are an interval of the
-suffix array whose longest common prefix is n or more, named by the ranks of the two windows
-of 2**k lines that cover these lines.  The first member of an interval stays, and the lines
-of later ones are deleted.  Each longer repeated run is a union of such windows, so maximal
-runs go as a whole, and doubling ends at ``min_words`` lines, not at the longest text.
+that occur once leave.  Of the windows of at least ``min_words`` words, the shortest that
+begins and the shortest that ends at each line are taken, n lines each; suffixes that share
+their first n lines are an interval of the suffix array whose longest common prefix is n or
+more, named by the ranks of the two windows of 2**k lines that cover these lines.  The first
+member of an interval stays, and the lines of later ones are deleted.  Each longer repeated
+run is a union of such windows: a line with too few words after it in the run lies in the
+shortest window that ends with the run.  So maximal runs go as a whole, and doubling ends at
+``min_words`` lines, not at the longest text.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def _names(pairs: DataFrame, *columns: str) -> DataFrame:
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """The repeated windows of just ``min_words`` words or more: keys, doc_id, pos, n and two ranks."""
+    """The repeated windows of ``min_words`` words or more that lose them without their first, or last, line: keys, doc_id, pos, n and two ranks."""
     seen = materialize(lines.groupBy("line").count().where("count > 1").select("line"), "lines-twice")
     active = may_hold(lines, "line", survivors_bitmap(seen, "line", SIEVE_BITS), SIEVE_BITS)
     if SPARSE * seen.count() > SIEVE_BITS:
@@ -84,33 +86,39 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
         .where(F.col("all_words") >= min_words)
         .withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
-    reach = island.orderBy("before").rangeBetween(0, min_words - 1)
-    enough = F.col("all_words") - F.col("before") >= min_words
+    by_words = island.orderBy("before")
+    active = active.withColumn("enough", F.col("all_words") - F.col("before") >= min_words).withColumn(
+        "reach", F.count("*").over(by_words.rangeBetween(0, min_words - 1)).cast("int")
+    )
+    # windows from a line: the shortest has n lines, and up to top lines they are the shortest that end where they do
+    beyond = F.lead("reach").over(by_words) + F.when(F.lead("enough").over(by_words), 0).otherwise(1)
+    active = active.withColumn("top", F.greatest("reach", beyond))
+    kept = lambda c: F.when(F.col("enough"), F.col(c)).otherwise(0)
     current = materialize(
-        active.select(*_KEY, "doc_id", "pos", F.when(enough, F.count("*").over(reach)).otherwise(0).cast("int").alias("n"), F.col("line").alias("name")),
+        active.select(*_KEY, "doc_id", "pos", kept("reach").alias("n"), kept("top").alias("top"), F.col("line").alias("name")),
         "lines-level",
     )
 
     found, size = None, 1
     row = Window.partitionBy(*_KEY).orderBy("pos")
-    ahead = lambda steps: F.get(F.filter("near", lambda x: x["pos"] == F.col("pos") + steps), 0)["name"]
     while True:
-        ended = F.col("n").between(size, 2 * size - 1)
         level = current.withColumn("second", F.first("name").over(row.rangeBetween(size, size)))
         if size == 1:
-            level = level.withColumn("last", F.when(ended, F.col("name")))
+            near = F.array(F.struct("pos", "name"))
         else:
             near = F.collect_list(F.struct("pos", "name")).over(row.rangeBetween(0, size - 1))
-            level = level.withColumn("near", near).withColumn("last", F.when(ended, ahead(F.col("n") - size))).drop("near")
+        lines_to = lambda x: x["pos"] - F.col("pos") + size  # noqa: E731, B023
+        level = level.withColumn("near", near).withColumn("near", F.filter("near", lambda x: lines_to(x).between(F.col("n"), F.col("top"))))  # noqa: B023
+        level = level.withColumn("ends", F.transform("near", lambda x: F.struct(lines_to(x).alias("n"), x["name"].alias("last")))).drop("near")  # noqa: B023
         if 2 * size <= min_words:
             # a longer window is of use only at or after the start of a run that long
-            longest = F.max("n").over(row.rangeBetween(-min_words, 0))
+            longest = F.max("top").over(row.rangeBetween(-min_words, 0))
             level = materialize(level.withColumn("second", F.when(longest >= 2 * size, F.col("second"))), "lines-pairs")
-        whole = level.where(F.col("last").isNotNull()).select(*_KEY, "doc_id", "pos", "n", F.col("name").alias("first"), "last")
+        whole = level.where(F.size("ends") > 0).select(*_KEY, "doc_id", "pos", F.col("name").alias("first"), F.inline("ends"))
         found = whole if found is None else found.unionByName(whole)
         if 2 * size > min_words:
             return found
-        pairs = level.where(F.col("second").isNotNull()).select(*_KEY, "doc_id", "pos", "n", F.col("name").alias("left"), "second")
+        pairs = level.where(F.col("second").isNotNull()).select(*_KEY, "doc_id", "pos", "n", "top", F.col("name").alias("left"), "second")
         names = _names(pairs, "left", "second")
         current = materialize(pairs.join(names, ["left", "second"]).drop("left", "second"), "lines-level")
         size *= 2

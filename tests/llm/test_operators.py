@@ -247,6 +247,36 @@ def test_line_dedup(docs, rows, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_maximal_runs(spark):
+    from loomline.llm.op07_line_dedup import MIN_WORDS, dedup_lines
+
+    pool = [words(7000 + i, n) + "." for i, n in enumerate([33, 8, 15, 1, 2, 40, 9, 12, 3, 29])]
+    r = random.Random(5)
+    texts = [" ".join(pool[:3]), "Alone here. " + " ".join(pool[:3]) + " Not again."]  # one window of 33 words, then 23 more
+    for _ in range(60):
+        at, n = r.randrange(len(pool)), r.randint(2, 7)
+        texts.append(" ".join([words(r.randrange(10**6), 5) + ".", *(pool + pool)[at : at + n], r.choice(pool), words(r.randrange(10**6), 3) + "."]))
+    split = [[s.strip(SPACES) for s in re.split(r"(?<=\. )", t)] for t in texts]
+    first, seen = {}, []
+    for i, lines in enumerate(split):
+        size = np.cumsum([0] + [s.count(" ") + 1 for s in lines])
+        for p in range(len(lines)):
+            for q in range(p + 1, len(lines) + 1):
+                if size[q] - size[p] >= MIN_WORDS:
+                    first.setdefault(tuple(lines[p:q]), (i, p))
+                    seen.append((tuple(lines[p:q]), i, p, q))
+    gone = defaultdict(set)
+    for run, i, p, q in seen:
+        j, at = first[run]
+        if j != i or p >= at + q - p:
+            gone[i].update(range(p, q))
+    got = {x.doc_id: x for x in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got[1].text == "Alone here. Not again." and got[1].deleted_lines == 3
+    for i, lines in enumerate(split):
+        assert got[i].deleted_lines == len(gone[i])
+        assert got[i].text == (" ".join(s for k, s in enumerate(lines) if k not in gone[i]))
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
