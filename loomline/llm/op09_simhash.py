@@ -159,6 +159,17 @@ def _star(edges: DataFrame, keep: str | None) -> DataFrame:
     return linked.where("u > v").distinct()
 
 
+def named(marked: DataFrame, roots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``marked`` (doc_id, fp) with component_id: the smallest id of the component that ``roots`` (node, root) gives its fp."""
+    if nodes is None:
+        nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "simhash-rooted")
+    named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-named")
+    named = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-components")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_block: int = HOT_BLOCK) -> DataFrame:
     """doc_id, fp, component_id for every row; component_id is the smallest id that links reach.
 
@@ -169,11 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-marked")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), nodes.count(), hot_block))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-rooted")
-    named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-named")
-    named = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-components")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return named(marked, roots, nodes)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -157,6 +157,62 @@ def test_links_lose_no_neighbour(spark, hot):
         assert {got.get(m, m) for m in members} == {min(members)}
 
 
+@pytest.mark.parametrize("hot_bucket", [64, 2])
+def test_similar_groups(spark, rows, empty, hot_bucket):
+    from loomline.llm.minhash import similar_groups
+
+    def edited(text: str, seed: int, edits: int) -> str:
+        r, w = random.Random(seed), text.split()
+        for _ in range(edits):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        return " ".join(w)
+
+    texts = [(x[0], x[1]) for x in rows]
+    for k in range(12):
+        base = words(8000 + k, 200)
+        texts += [(1000 + 10 * k + e, edited(base, 10 * k + e, e * (1 + k % 3))) for e in range(8)]
+    texts += [(5000, words(8000, 200).upper())]
+    texts += [(6000 + i, edited(words(8100, 300), i, i % 4)) for i in range(40)]
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return frozenset(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) > 5 else frozenset([tuple(w)] if w else [])
+
+    made = [sets(t) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i, a in enumerate(made):
+        for j in range(i):
+            both = len(a & made[j])
+            if a == made[j] or both * 18 >= 8 * (len(a) + len(made[j])) > 0:
+                near += a != made[j]
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(texts):
+        least[find(i)] += [] if d is None else [d]
+    want = Counter((d, min(least[find(i)], default=None)) for i, (d, _) in enumerate(texts))
+    assert near > 50
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert Counter((x.doc_id, x.component_id) for x in similar_groups(frame, hot_bucket=hot_bucket).collect()) == want
+    assert similar_groups(empty).count() == 0
+
+
+def test_near_dedup_stage_drops_similar(spark, tmp_path):
+    import corpus_pipeline
+
+    a = words(8500, 200)
+    b = a.replace(a.split()[60], "changed", 1).replace(a.split()[120], "changed", 1)
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate([a, b, words(8501, 200)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == [0, 2]
+
+
 def test_sharding(docs, rows, empty):
     from loomline.llm.op10_sharding import communication_matrix, shard_documents, shuffled_shards
 
