@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space of every contract here: space and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,11 +20,14 @@ _written: list[tuple[SparkSession, str]] = []
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (as in tests) a temporary folder of this machine is taken,
-    and remembered in the session.
+    Only where it is unset and all of Spark runs in one process (as in tests) a temporary
+    folder of this machine is taken, and remembered in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomline.scratch.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("loomline.scratch.dir", root)
     return root.rstrip("/")
@@ -66,14 +70,53 @@ atexit.register(release)
 
 
 def packed(df: DataFrame, *keep: str) -> DataFrame:
-    """Only the columns ``keep``, and all others as one struct ``_rest``: no name can clash with those of an operator."""
-    rest = [c for c in df.columns if c not in keep]
-    return df.select(*keep, F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("_rest"))
+    """Only the columns ``keep``, and all others by number in one struct ``_rest``: no name can clash with those of an operator."""
+    rest = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in keep]
+    return df.select(*keep, F.struct(*rest, F.lit(0).alias("none")).alias("_rest"))
 
 
 def unpacked(columns: list[str], *keep: str) -> list[Column]:
     """The columns of before ``packed``, in their order."""
-    return [F.col(c) if c in keep else F.col("_rest").getField(c).alias(c) for c in columns]
+    return [F.col(c) if c in keep else F.col("_rest").getField(f"c{i}").alias(c) for i, c in enumerate(columns)]
+
+
+#: Rows of an Arrow batch, where the session leaves Spark's default of 10 000: whole texts are long.
+BATCH_ROWS = 2000
+
+
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches small enough for texts, on both sides of the pipe."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
+def slices(batches, rows: int = 512, octets: int = 4 << 20):
+    """Parts of Arrow batches with so many rows, and by their mean about so many octets, at most."""
+    for batch in batches:
+        step = max(1, min(rows, octets * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def running_sum(df: DataFrame, by: str, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """``df`` (one row for each ``by`` and ``order``) with the sum of ``value`` over smaller ``order``.
+
+    Found in stretches of ``width`` orders, whose totals are added up in the same way, so no
+    task has more than ``width`` rows, or the totals of that many.
+    """
+    stretch = F.floor(F.col(order) / width)
+    inside = Window.partitionBy(by, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    cut = df.withColumn("_stretch", stretch)
+    totals = cut.groupBy(by, "_stretch").agg(F.sum(value).alias("_total")).select(by, "_stretch", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
+    return (
+        cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(totals, [by, "_stretch"])
+        .withColumn(name, F.col("_base") + F.col("_inside"))
+        .drop("_stretch", "_inside", "_base")
+    )
 
 
 def let(value: Column, body) -> Column:

@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.boosting import Boosted, fit_boosted, fit_isotonic
-from loomline.llm.common import id_bucket
+from loomline.llm.common import id_bucket, in_arrow, slices
 
 #: Labelled rows, about, to which the model is fitted; drawn by a hash of the id.
 MAX_TRAINING_ROWS = 16_000
 FOLDS = 3
+#: Different terms that a worker counts before it hands them on.
+MAX_COUNTED = 30_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 
@@ -62,12 +64,14 @@ class Lexicon:
 class Classes(dict):
     """Classes of words, found once each; emptied when it has grown large."""
 
+    LIMIT = 60_000
+
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > self.LIMIT:
             self.clear()
         found = self[word] = self.lexicon.classify(word)
         return found
@@ -117,9 +121,9 @@ class ToxicityModel:
 
 
 def _term_counts(batches):
-    """(term, fold, context, toxic texts, other texts) of each batch of (text, toxic, fold)."""
-    for batch in batches:
-        counts: Counter = Counter()
+    """(term, fold, context, toxic, texts) of rows (text, toxic, fold), counted in part: a full counter goes out and begins anew."""
+    counts: Counter = Counter()
+    for batch in slices(batches):
         for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = WORDS.findall((text or "").lower())
             seen = set()
@@ -128,12 +132,15 @@ def _term_counts(batches):
                     if term not in seen:
                         seen.add(term)
                         counts[term, fold, crc32(before.encode()) & 0xFFFF if toxic else -1, toxic] += 1
-        keys = list(counts)
-        n = pa.array(counts.values(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int32()), n],
-            ["term", "fold", "context", "toxic", "n"],
-        )
+            if len(counts) > MAX_COUNTED:
+                yield _counted(counts)
+                counts.clear()
+    yield _counted(counts)
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*counts, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)] if counts else [pa.array([], pa.string()), *[pa.array([], pa.int32())] * 3]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(counts.values(), pa.int64())], ["term", "fold", "context", "toxic", "n"])
 
 
 def _lexicon(rows, held_out: int | None) -> Lexicon:
@@ -156,7 +163,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_rows / max(1, total)))))
     # about max_rows ids at most, whatever the tables' size
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(FOLDS)).cast("int").alias("fold")).repartition(8)
-    counts = sample.mapInArrow(_term_counts, "term string, fold int, context int, toxic int, n long")
+    counts = in_arrow(sample, _term_counts, "term string, fold int, context int, toxic int, n long")
     by_context = counts.groupBy("term", "fold", "context", "toxic").agg(F.sum("n").alias("n"))
     per_fold = lambda cond, what: F.array(*[F.coalesce(F.sum(F.when(cond & (F.col("fold") == f), what)), F.lit(0)) for f in range(FOLDS)])
     toxic = F.col("toxic") == 1
@@ -173,12 +180,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows
 
     def measured(batches):
         classes = [Classes(p) for p in parts]
-        for batch in batches:
+        for batch in slices(batches):
             text, toxic, fold = (c.to_pylist() for c in batch.columns)
             x = [features(t or "", classes[f]) for t, f in zip(text, fold, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(fold, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["toxic", "fold", "x"])
 
-    table = sample.mapInArrow(measured, "toxic int, fold int, x array<double>").toArrow()
+    table = in_arrow(sample, measured, "toxic int, fold int, x array<double>").toArrow()
     y = np.array(table.column("toxic").to_pylist(), dtype=np.float64)
     fold = np.array(table.column("fold").to_pylist(), dtype=np.int64)
     x = np.array(table.column("x").to_pylist(), dtype=np.float64).reshape(len(y), len(FEATURES))
@@ -201,12 +208,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def scored(batches):
         classes = Classes(model.lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             s = model.scores(batch.column(1).to_pylist(), classes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
+    return in_arrow(docs.select("doc_id", "text"), scored, f"doc_id {kind}, score double")
 
 
 def may_learn(doc_id: Column) -> Column:
@@ -232,11 +239,11 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def clean(batches):
         classes = Classes(model.lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             s = model.scores(batch.column(batch.schema.get_field_index("text")).to_pylist(), classes)
             yield batch.filter(pa.array(s < THRESHOLD))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return in_arrow(docs, clean, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

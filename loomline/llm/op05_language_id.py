@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import id_bucket
+from loomline.llm.common import id_bucket, in_arrow, materialize, slices
 
 #: Labelled rows, about, from which trigrams are counted; drawn by a hash of the id.
 MAX_TRAINING_ROWS = 16_000
@@ -96,14 +96,20 @@ def _em(p: np.ndarray, n: np.ndarray, theta: np.ndarray, rounds: int = 30) -> tu
 
 
 def fit_languages(docs: DataFrame, may_learn: Column, max_rows: int = MAX_TRAINING_ROWS) -> LanguageModel:
-    """Count trigrams of each language in a bounded sample of the rows where ``may_learn`` holds."""
+    """Count trigrams of each language in a sample of the rows where ``may_learn`` holds.
+
+    Each language gives an equal share of ``max_rows``, about, or all its rows if it has
+    fewer, so that no rare language is left out.
+    """
     known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, max_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * share)))
+    sizes = materialize(known.groupBy("lang").count(), "lang-sizes")
+    each = max_rows / max(1, sizes.count())
+    kept = sizes.select("lang", (F.least(F.lit(1.0), F.lit(each) / F.col("count")) * (1 << 30)).cast("long").alias("below"))
+    drawn = known.join(kept, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below"))
 
     def counted(batches):
         grams, sums = Trigrams(), {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 c = grams.counts(text)
                 if lang not in sums:
@@ -116,7 +122,7 @@ def fit_languages(docs: DataFrame, may_learn: Column, max_rows: int = MAX_TRAINI
             )
 
     # eight partial sums for each language reach the driver, whatever the input
-    parts = drawn.select("lang", "text").repartition(8).mapInArrow(counted, "lang string, sums binary").collect()
+    parts = in_arrow(drawn.select("lang", "text").repartition(8), counted, "lang string, sums binary").collect()
     langs = sorted({r["lang"] for r in parts})
     sums = np.zeros((SLOTS, len(langs)))
     for r in sorted(parts, key=lambda r: (r["lang"], r["sums"])):
@@ -141,7 +147,7 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
 
     def told(batches):
         grams = Trigrams()
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, shares = [], [], []
             for text in batch.column(1).to_pylist():
                 c = grams.counts(text) if text and model.langs else None
@@ -155,7 +161,7 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(told, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
+    found = in_arrow(docs.select("doc_id", "text"), told, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
     return found.withColumn("held_out", ~may_learn(F.col("doc_id")))
 
 

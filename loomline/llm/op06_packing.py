@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialize
+from loomline.llm.common import in_arrow, materialize, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -24,8 +24,11 @@ GROUP_ITEMS = 8192
 FAN_IN = 8
 #: A bin with no more room than this is nearly full, and done.
 SLACK = 8
-#: Underfull bins that a group hands on, the emptiest first.  At most one of a group is half
-#: empty or more, as two such would have been one; the others can only take in such bins.
+#: Underfull bins that a group hands on, the emptiest first; ``None``: all of them.  More give
+#: no fewer sequences: best-fit leaves at most one bin of a group half empty or more, as two
+#: such would have been one, and the others can only take in such bins.  Where ``FAN_IN`` groups
+#: meet, at most ``FAN_IN`` bins look for room, and if any bin of a group has room for one, its
+#: emptiest has; so with ``FAN_IN`` or more of each group nothing that fits stays apart.
 RISING = 64
 
 #: The split of the byte-level vocabulary, over characters whose classes are settled.
@@ -44,7 +47,8 @@ class Encoder:
     special token, go to the tokenizer whole.
     """
 
-    LIMIT = 600_000
+    #: Octets of pieces and ids remembered, about; then all are forgotten.
+    LIMIT = 12 << 20
 
     def __init__(self, path: str) -> None:
         import json
@@ -63,6 +67,7 @@ class Encoder:
         ranks = {k: v for k, v in ranks.items() if v < len(vocab) and k != b"<|endoftext|>"}
         self.merges = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _piece(self, piece: str) -> bytes:
         return array("I", self.merges.encode_ordinary(piece)).tobytes()
@@ -78,10 +83,12 @@ class Encoder:
                 yield self._whole(text)
                 continue
             pieces = _PIECES.findall(text)
-            if len(known) > self.LIMIT:
+            if self.held > self.LIMIT:
                 known.clear()
+                self.held = 0
             for p in set(pieces).difference(known):
-                known[p] = piece(p)
+                known[p] = ids = piece(p)
+                self.held += len(p) + len(ids) + 180  # with what the objects themselves take
             yield b"".join(map(known.__getitem__, pieces))
 
 
@@ -92,22 +99,10 @@ def _octets_of_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _encoder(path: str) -> Encoder:
-    """The encoder of this worker process: pieces known from one task serve the next."""
-    import sys
-    from types import ModuleType
-
-    held = sys.modules.setdefault("_loomline_worker", ModuleType("_loomline_worker"))
-    encoders = held.__dict__.setdefault("encoders", {})
-    if path not in encoders:
-        encoders[path] = Encoder(path)
-    return encoders[path]
-
-
 def _tokenized(path: str, capacity: int):
     def run(batches):
-        encoder = _encoder(path)
-        for batch in batches:
+        encoder = Encoder(path)  # lives as long as the task
+        for batch in slices(batches):
             ids = batch.column(0)
             at, piece, start, length, crc = [], [], [], [], []
             for row, octets in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
@@ -155,7 +150,7 @@ def best_fit(lengths, capacity: int) -> tuple[list[int], list[int], list[int]]:
     return bins, offsets, fills
 
 
-def _packed(capacity: int):
+def _packed(capacity: int, rising: int | None):
     """Pack the items (grp, item, length) of a group; rows: item, bin, offset, fill, rises."""
 
     def run(key, table):
@@ -166,7 +161,7 @@ def _packed(capacity: int):
         named = item[order][np.unique(bins, return_index=True)[1]]  # a bin has the name of its first item
         under = np.flatnonzero(fills < capacity - SLACK)
         rises = np.zeros(len(fills), dtype=bool)
-        rises[under[np.argsort(fills[under], kind="stable")[:RISING]]] = True
+        rises[under[np.argsort(fills[under], kind="stable")[:rising]]] = True
         return pa.table({
             "grp": pa.array(np.full(len(item), key[0].as_py()), pa.int64()), "item": pa.array(item[order], pa.int64()), "bin": pa.array(named[bins], pa.int64()),
             "offset": pa.array(offsets, pa.int64()), "fill": pa.array(fills[bins], pa.int64()), "rises": pa.array(rises[bins]),
@@ -175,19 +170,24 @@ def _packed(capacity: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(item, sequence_id, offset) for ``items`` (item long, unique and not negative; length in 1..capacity)."""
+def pack(items: DataFrame, capacity: int = CAPACITY, rising: int | None = RISING) -> DataFrame:
+    """(item, sequence_id, offset) for ``items`` (item long, unique and not negative; length in 1..capacity).
+
+    ``rising``: underfull bins that a group hands on, at least ``FAN_IN``, or ``None`` for all.
+    """
+    if rising is not None and rising < FAN_IN:
+        raise ValueError(f"with fewer than {FAN_IN} rising bins some that fit together might not meet")
     schema = "grp long, item long, bin long, offset long, fill long, rises boolean"
     groups = max(1, -(-items.count() // GROUP_ITEMS))
     dealt = items.select(F.pmod(F.xxhash64("item"), F.lit(groups)).alias("grp"), "item", "length")
-    level = materialize(dealt.groupBy("grp").applyInArrow(_packed(capacity), schema), "pack-level")
+    level = materialize(dealt.groupBy("grp").applyInArrow(_packed(capacity, rising), schema), "pack-level")
     base = level.select("item", "bin", "offset")
     moves = None  # (bin, host, shift) of bins that rose, so far
     while groups > 1:
         groups = -(-groups // FAN_IN)
         risen = level.where("rises").groupBy("grp", "bin").agg(F.first("fill").alias("length"))
         risen = risen.select(F.floor(F.col("grp") / FAN_IN).alias("grp"), F.col("bin").alias("item"), "length")
-        level = materialize(risen.groupBy("grp").applyInArrow(_packed(capacity), schema), "pack-level")
+        level = materialize(risen.groupBy("grp").applyInArrow(_packed(capacity, rising), schema), "pack-level")
         step = level.select(F.col("item").alias("host"), F.col("bin").alias("new_host"), F.col("offset").alias("more"))
         if moves is None:
             moves = step.select(F.col("host").alias("bin"), F.col("new_host").alias("host"), F.col("more").alias("shift"))
@@ -213,7 +213,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = docs.select("doc_id", "text").mapInArrow(_tokenized(tokenizer, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    cut = in_arrow(docs.select("doc_id", "text"), _tokenized(tokenizer, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = materialize(cut.withColumn("item", F.monotonically_increasing_id()), "pack-pieces")
     places = pack(pieces.where(F.col("length") < capacity).select("item", "length"), capacity)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]

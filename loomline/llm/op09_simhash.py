@@ -11,7 +11,7 @@ from alternating stars, written after each round.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import batched, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loomline.llm.common import materialize
+from loomline.llm.common import in_arrow, materialize, slices
 
 BITS = 64
 SEED = 42
 DISTANCE = 2
+#: Shingles of a text that are hashed at once.
+STEP = 1 << 13
 #: Fingerprints in a block from which lists by cleared bits are cheaper than pairs.
 HOT_BLOCK = 1024
 
@@ -37,33 +39,26 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    if len(words) <= shingle:
-        hashes = [xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        runs = zip(*(words[i:] for i in range(shingle)), strict=False)
-        hashes = [xxh64_intdigest(x, SEED) for x in map(b" ".join, runs)]
-    return _majority(np.array(hashes, dtype=np.uint64))
-
-
-def _majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
-    ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(hashes), step):  # long texts in steps, so memory stays bounded
-        octets = hashes[i : i + step].astype(">u8").view(np.uint8).reshape(-1, 8)
+    runs = [words] if len(words) <= shingle else zip(*(islice(words, i, None) for i in range(shingle)), strict=False)
+    ones, total = np.zeros(BITS, dtype=np.int64), 0
+    # long texts in steps, so no more than one step of hashes is held
+    for part in batched(runs, STEP):
+        octets = np.array([xxh64_intdigest(x, SEED) for x in map(b" ".join, part)], dtype=">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        total += len(part)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _fingerprints, f"doc_id {kind}, fp long"
-    )
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return in_arrow(named, _fingerprints, f"doc_id {kind}, fp long")
 
 
 def block_choices(count: int) -> list[int]:
