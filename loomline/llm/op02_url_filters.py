@@ -10,7 +10,7 @@ ranges as they need, and a rule goes to each range that its interval meets.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import json
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -65,19 +65,31 @@ def _key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(safe, r"\.")), END), F.lit(END))
 
 
-def _bounds(keyed: DataFrame, ranges: int, per_range: int = 20) -> list[tuple[str, int]]:
-    """Keys at which ranges begin, from a sample of a size that the number of ranges bounds.
+SALTS = 1_000_000_007
+
+
+def _bounds(keyed: DataFrame, ranges: int, per_range: int = 40) -> list[tuple[str, int]]:
+    """Keys at which ranges begin, from about ``per_range`` rows for each range, drawn from all rows alike.
 
     Only the balance of the tasks depends on it; no row does.
     """
     if ranges < 2:
         return []
-    wanted = ranges * per_range
-    share = min(1.0, 2 * wanted / max(1, keyed.count()))
-    seen = sorted((r["key"], r["salt"]) for r in keyed.select("key", "salt").where(F.col("salt") % 10000 < 10000 * share).limit(4 * wanted).collect())
+    below = int(SALTS * min(1.0, ranges * per_range / max(1, keyed.count())))
+    seen = sorted((r["key"], r["salt"]) for r in keyed.select("key", "salt").where(F.pmod(F.xxhash64("salt"), F.lit(SALTS)) < below).collect())
     return sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
 
 
+def _bounds_up_to(bounds: list[tuple[str, int]], key: Column, salt: Column) -> Column:
+    """How many bounds are (key, salt) or less, by halving; the bounds are one constant."""
+    if not bounds:
+        return F.lit(0)
+    text = json.dumps([{"key": k, "salt": s} for k, s in bounds])
+    listed, sought = F.from_json(F.lit(text), "array<struct<key:string,salt:bigint>>"), F.struct(key.alias("key"), salt.cast("long").alias("salt"))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.coalesce(F.get(listed, n + s - 1) <= sought, F.lit(False)), n + s).otherwise(n))
+
+
 class Sweep:
     """The open rules above the current key; each level has the rules of one host by path."""
 
@@ -148,24 +160,19 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: st
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = url_parts(F.col(url_col))
     # the number of the row in its partition spreads equal urls too
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_000_007))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("salt", salt)
     urls = urls.withColumn("key", _key(F.col("host")))
     bounds = _bounds(urls, ranges)
 
-    @F.udf("array<int>", useArrow=True)
-    def range_of(key: str, salt: int) -> list[int]:
-        if salt is not None:
-            n = bisect_right(bounds, (key, salt))
-            return [n]
-        return list(range(bisect_left(bounds, (key, -1)), bisect_right(bounds, (key + "\U0010ffff", 0)) + 1))
-
+    # a rule goes to every range that its interval meets, from its own key to the last key below it
+    met = F.sequence(_bounds_up_to(bounds, F.col("key"), F.lit(-1)), _bounds_up_to(bounds, F.concat("key", F.lit("\U0010ffff")), F.lit(0)))
     some = F.lit(None)
-    left = urls.withColumn("_range", range_of("key", "salt")[0]).select(
+    left = urls.withColumn("_range", _bounds_up_to(bounds, F.col("key"), F.col("salt"))).select(
         "_range", "key", F.lit(True).alias("is_url"), "page_id", "host", "path", some.cast("string").alias("text"), some.cast("string").alias("given")
     )
     low = F.translate(F.col("host"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    right = rules.withColumn("host", low).withColumn("key", _key(F.col("host"))).withColumn("_range", F.explode(range_of("key", some.cast("long")))).select(
+    right = rules.withColumn("host", low).withColumn("key", _key(F.col("host"))).withColumn("_range", F.explode(met)).select(
         "_range", "key", F.lit(False).alias("is_url"), some.cast(pages.schema[id_col].dataType).alias("page_id"), "host", "path",
         F.concat("host", "path").alias("text"), F.col("verdict").alias("given"),
     )
