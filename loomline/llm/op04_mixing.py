@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.common import let, located, materialize, packed, permuted, row_key, unpacked, word_count
+from loomline.llm.common import let, located, materialize, packed, permuted, row_key, running_sum, unpacked, word_count
 
 SEED = 7
 
@@ -88,9 +88,7 @@ def drawn_blocks(spark: SparkSession, sources: DataFrame, settings: MixSettings,
     ).select("shard", "slot", "sid")
 
     counts = materialize(drawn.groupBy("shard", "sid").count(), "mix-counts")
-    base = counts.select("shard", "sid", F.coalesce(
-        F.sum("count").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    ).alias("base"))
+    base = running_sum(counts, "sid", "shard", "count", "base").select("shard", "sid", "base")
     settled = (
         sources.where("quota > 0").select("sid", "quota", "blocks")
         .join(counts.groupBy("sid").agg(F.sum("count").alias("drew")), "sid", "left")
@@ -136,10 +134,8 @@ def _placed(sized: DataFrame, sources: DataFrame, settings: MixSettings, seed: i
         .groupBy(*keys).agg(F.count("*").alias("copies"))
     )
     groups = materialize(groups, "mix-rows")
-    starts = groups.groupBy("sid", "piece").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).select(
-        "sid", "piece",
-        F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("piece_start"),
-    )
+    sums = groups.groupBy("sid", "piece").agg(F.sum(F.col("size") * F.col("copies")).alias("n"))
+    starts = running_sum(sums, "sid", "piece", "n", "piece_start").select("sid", "piece", "piece_start")
     inside = Window.partitionBy("sid", "piece").orderBy("mixed", "key_a", "key_b", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return (
         groups.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
