@@ -1,58 +1,98 @@
 """Uniform sharding with exact shard sizes, by a hypergeometric communication matrix.
 
-The rows of a uniformly random permutation, cut into shards, fall from each input
-partition into each shard with multivariate hypergeometric counts.  So the counts are drawn
-first, on the driver, from the partition sizes alone; each partition then permutes its own
-rows and deals them out by these counts, and each shard permutes what it received.  Texts
-are not moved: their size and checksum are.
+The rows of a uniformly random permutation, cut into shards, fall from each part of the
+input into each shard with multivariate hypergeometric counts.  So the counts are drawn
+first, from the sizes of the parts alone: parts are leaves of a tree, and from the root on
+each node's counts are dealt out to its children, level by level, by the tasks.  Each part
+then permutes its own rows and deals them out by its counts, and each shard permutes what it
+received.  Texts are not moved: their size and checksum are.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.common import materialize, packed, unpacked
+from loomline.llm.common import materialize, packed, running_sum, unpacked
 
 SEED = 20240917
 #: Rows that one task ranks at once, about; a shard's permutation is made in pieces of this size.
 PIECE_ROWS = 16384
+#: Bits of a part's number that tell the children of a node apart, and those that tell the parts of one input task apart.
+CHILD_BITS = 8
+CHUNK_BITS = 33 - (PIECE_ROWS.bit_length() - 1)
 
 
-def communication_matrix(sizes: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Rows from each partition to each shard; shard totals differ by one at most.
+def shard_sizes(total: int, shards: int) -> list[int]:
+    return [total // shards + (k < total % shards) for k in range(shards)]
 
-    Memory and time are partitions x shards, whatever the number of rows.
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many good ones are among ``draws`` of ``good + bad``, by the exact law at any size.
+
+    Neighbouring probabilities have simple ratios, so all that matter follow from that of the
+    mode: those up to 12 standard deviations away, beyond which less is left than a double's
+    last bit.  Then the distribution is inverted.
     """
-    total = sum(sizes)
-    left = np.array([total // shards + (k < total % shards) for k in range(shards)], dtype=np.int64)
-    rng = np.random.default_rng(seed)
-    matrix = np.zeros((len(sizes), shards), dtype=np.int64)
+    least, most = max(0, draws - bad), min(good, draws)
+    if least == most:
+        return least
+    n = good + bad
+    mode = (draws + 1) * (good + 1) // (n + 2)
+    spread = int(12 * (draws * (good / n) * (bad / n) * ((n - draws) / max(1, n - 1))) ** 0.5) + 64
+    k = np.arange(max(least, mode - spread), min(most, mode + spread) + 1, dtype=np.float64)
+    step = np.log(good - k[:-1]) + np.log(draws - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - draws + k[:-1] + 1)
+    logs = np.concatenate(([0.0], np.cumsum(step)))
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[min(len(k) - 1, np.searchsorted(below, rng.random() * below[-1], side="right"))])
+
+
+def communication_matrix(sizes: list[int], left: list[int], rng: np.random.Generator) -> np.ndarray:
+    """Rows from each of some parts to each shard, if ``left`` of all their rows go to each shard."""
+    left = [int(x) for x in left]
+    matrix = np.zeros((len(sizes), len(left)), dtype=np.int64)
     for p, n in enumerate(sizes):
-        # one shard at a time, as the marginal method of numpy takes no more than 10**9 rows
-        pool, want = int(left.sum()), int(n)
-        for k in range(shards):
-            pool -= int(left[k])
-            took = _hypergeometric(rng, int(left[k]), pool, want)
+        pool, want = sum(left), int(n)
+        for k, here in enumerate(left):
+            pool -= here
+            took = hypergeometric(rng, here, pool, want)
             matrix[p, k], want = took, want - took
-        left -= matrix[p]
+        left = [a - int(b) for a, b in zip(left, matrix[p], strict=True)]
     return matrix
 
 
-def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
-    if draws == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return draws
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
-    # beyond numpy's range the normal law with the exact mean and variance, kept inside its bounds
-    n = good + bad
-    mean = draws * good / n
-    sd = (mean * (bad / n) * (n - draws) / max(1, n - 1)) ** 0.5
-    return int(min(good, draws, max(0, draws - bad, round(rng.normal(mean, sd)))))
+def _dealt(level: int, seed: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        rng = np.random.default_rng([seed, level, table.column("parent")[0].as_py()])
+        matrix = communication_matrix(table.column("n").to_pylist(), table.column("left")[0].as_py(), rng)
+        return pa.table({"node": table.column("node"), "counts": pa.array(matrix.tolist(), pa.list_(pa.int64()))})
+
+    return run
+
+
+def drawn_counts(parts: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+    """(node, counts) for parts (node long, n long): rows of each part that go to each shard.
+
+    Each node of the tree has 2**CHILD_BITS children at most, so a task draws a small matrix,
+    and the driver learns the number of rows and the largest node alone.
+    """
+    levels = [parts]
+    total, last = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("node"), F.lit(0))).first()
+    while last:
+        last >>= CHILD_BITS
+        up = levels[-1].groupBy(F.shiftright("node", CHILD_BITS).alias("node")).agg(F.sum("n").alias("n"))
+        levels.append(materialize(up, "shard-tree"))
+    root = parts.sparkSession.createDataFrame([(0, shard_sizes(total, shards))], "node long, counts array<long>")
+    counts = root
+    for level in reversed(range(len(levels) - 1)):
+        children = levels[level].withColumn("parent", F.shiftright("node", CHILD_BITS))
+        given = children.join(counts.select(F.col("node").alias("parent"), F.col("counts").alias("left")), "parent")
+        counts = materialize(given.groupBy("parent").applyInArrow(_dealt(level, seed), "node long, counts array<long>"), "shard-counts")
+    return counts
 
 
 def shuffled_shards(rows: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
@@ -63,25 +103,22 @@ def shuffled_shards(rows: DataFrame, shards: int, seed: int = SEED) -> DataFrame
     """
     if {"shard", "slot"} & set(rows.columns):
         raise ValueError("the result has columns shard and slot of its own")
-    spark, columns = rows.sparkSession, rows.columns
+    columns = rows.columns
     # the numbering is written once: partition and row in it stay as they are from here on
     numbered = materialize(packed(rows).withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
-    source = F.shiftrightunsigned("_row", 33)
     # parts so small that one task can rank them, and so many that none is hot
-    part = F.concat_ws(":", source, F.floor(F.col("_row").bitwiseAND((1 << 33) - 1) / PIECE_ROWS))
-    numbered = numbered.withColumn("_part", part)
-    sizes = numbered.groupBy("_part").count().orderBy("_part").collect()  # one row for each PIECE_ROWS rows
-    matrix = communication_matrix([r["count"] for r in sizes], shards, seed)
-    bounds = np.cumsum(matrix, axis=1).tolist()
-    dealt = spark.createDataFrame(
-        [(r["_part"], b) for r, b in zip(sizes, bounds, strict=True)], "_part string, _bounds array<long>"
-    )
+    chunk = F.floor(F.col("_row").bitwiseAND((1 << 33) - 1) / PIECE_ROWS)
+    numbered = numbered.withColumn("_part", F.shiftleft(F.shiftrightunsigned("_row", 33), CHUNK_BITS) + chunk)
+    parts = materialize(numbered.groupBy(F.col("_part").alias("node")).agg(F.count("*").alias("n")), "shard-parts")
+    bounds = F.transform("counts", lambda c, i: F.aggregate(F.slice("counts", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    dealt = drawn_counts(parts, shards, seed).select(F.col("node").alias("_part"), bounds.alias("_bounds"))
 
     chance = F.xxhash64(F.lit(seed), F.col("_row"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(chance, "_row"))
     local = numbered.withColumn("_rank", rank).join(dealt, "_part")
     placed = local.withColumn("shard", F.size(F.filter("_bounds", lambda b: b < F.col("_rank"))).cast("int"))
-    done = _permute_shards(placed.drop("_part", "_rank", "_bounds"), sum(r["count"] for r in sizes), shards, seed)
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    done = _permute_shards(placed.drop("_part", "_rank", "_bounds"), total, shards, seed)
     return done.select(*unpacked(columns), "shard", "slot")
 
 
@@ -90,11 +127,7 @@ def _permute_shards(placed: DataFrame, total: int, shards: int, seed: int) -> Da
     ranges = max(1, -(-total // (shards * PIECE_ROWS)))
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col("_row")), 1)
     keyed = placed.withColumn("_key", key).withColumn("_range", F.pmod("_key", F.lit(ranges)))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        keyed.groupBy("shard", "_range").count()
-        .select("shard", "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    )
+    starts = running_sum(keyed.groupBy("shard", "_range").count(), "shard", "_range", "count", "_start").drop("count")
     rank = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_key", "_row"))
     return (
         keyed.withColumn("_rank", rank)
