@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key_a string, count int, shard_ string, plan string, cuts int, bit int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key_a string, count int, shard_ string, plan string, cuts int, _ int"
 
 
 def words(seed: int, n: int) -> str:
@@ -214,7 +214,7 @@ def test_near_dedup_stage_drops_similar(spark, tmp_path):
 
 
 def test_sharding(docs, rows, empty):
-    from loomline.llm.op10_sharding import communication_matrix, shard_documents, shuffled_shards
+    from loomline.llm.op10_sharding import communication_matrix, shard_documents, shard_sizes, shuffled_shards
 
     got = shard_documents(docs).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, crc32((r[1] or "").encode())) for r in rows)
@@ -223,12 +223,49 @@ def test_sharding(docs, rows, empty):
         by[r.shard].append(r.slot)
     assert set(by) == set(range(8)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    m = communication_matrix([5, 0, 1000, 17], 8)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, shard_documents(docs).collect()))
+    m = communication_matrix([5, 0, 1000, 17], shard_sizes(1022, 8), np.random.default_rng(1))
     assert m.sum(axis=1).tolist() == [5, 0, 1000, 17] and np.ptp(m.sum(axis=0)) <= 1 and (m >= 0).all()
     assert shuffled_shards(docs, 3).columns == [*docs.columns, "shard", "slot"]
     assert shard_documents(empty).count() == 0
 
 
+def test_sharding_draws_the_hypergeometric_law():
+    from math import comb
+
+    from loomline.llm.op10_sharding import communication_matrix, hypergeometric, shard_sizes
+
+    rng, n = np.random.default_rng(3), 20_000
+    for good, bad, draws in ((7, 9, 5), (1, 30, 8), (40, 3, 20)):
+        seen = Counter(hypergeometric(rng, good, bad, draws) for _ in range(n))
+        want = {k: n * comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+        assert set(seen) <= set(want)
+        assert sum((seen[k] - w) ** 2 / w for k, w in want.items() if w > 5) < 2 * len(want) + 20
+    # far beyond 10**9 rows the law is the same: of 10 good rows a twentieth is drawn
+    seen = [hypergeometric(rng, 10, 2 * 10**9 - 10, 10**8) for _ in range(n)]
+    assert abs(np.mean(seen) - 0.5) < 0.02 and abs(np.mean(np.array(seen) == 0) - 0.95**10) < 0.015
+    # whole matrices: each of the C(5,3) ways in which the three rows of the first part fall has its share
+    seen = Counter(tuple(communication_matrix([3, 2], shard_sizes(5, 2), rng)[0].tolist()) for _ in range(n))
+    assert set(seen) == {(1, 2), (2, 1), (3, 0)} and abs(seen[3, 0] / n - 0.1) < 0.01 and abs(seen[1, 2] / n - 0.3) < 0.015
+
+
+def test_sharding_tree_deals_out_every_part(spark):
+    from loomline.llm.op10_sharding import drawn_counts
+
+    sizes = {(i << 9) + j: (i * 37 + j * 11) % 50 + 1 for i in range(300) for j in range(3)}
+    got = {r.node: r.counts for r in drawn_counts(spark.createDataFrame(list(sizes.items()), "node long, n long"), 5).collect()}
+    assert {k: sum(v) for k, v in got.items()} == sizes
+    assert np.ptp(np.sum(list(got.values()), axis=0)) <= 1
+
+
+def test_sharding_is_uniform(spark):
+    from loomline.llm.op10_sharding import shuffled_shards
+
+    rows, seeds = spark.range(4).repartition(2), 24
+    at = Counter((r.id, r.shard, r.slot) for seed in range(seeds) for r in shuffled_shards(rows, 2, seed).collect())
+    assert len(at) == 16 and sum((n - seeds / 4) ** 2 / (seeds / 4) for n in at.values()) < 35
+
+
 def test_mixing(docs, rows, empty):
     from loomline.llm.op04_mixing import MixSettings, mix_documents, mixed_texts
 
@@ -271,7 +308,7 @@ def test_permutation_is_a_bijection(spark):
 def test_line_dedup(docs, rows, empty):
     from loomline.llm.op07_line_dedup import MIN_WORDS, dedup_lines
 
-    split = lambda t: re.split(r"(?<=\. )|(?<=\n)(?!\n)", t)
+    split = lambda t: re.split(r"(?<=\. )(?!\n)|(?<=\n)(?!\n)", t)
     size = lambda s: max(1, len(re.findall(f"[^{SPACES}]+", s)) if "  " in s else s.count(" ") + 1)
     unique = sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is None, r[0] or 0))
     first, seen = {}, []
@@ -303,15 +340,21 @@ def test_line_dedup(docs, rows, empty):
     assert dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_maximal_runs(spark):
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_line_dedup_maximal_runs(spark, partitions):
+    """Against all windows; with many ranges most classes of suffixes lie on an edge."""
     from loomline.llm.op07_line_dedup import MIN_WORDS, dedup_lines
 
-    pool = [words(7000 + i, n) + "." for i, n in enumerate([33, 8, 15, 1, 2, 40, 9, 12, 3, 29])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    pool = [words(7000 + i, n) + "." for i, n in enumerate([33, 8, 15, 1, 2, 40, 9, 12, 3, 29, 1, 1, 4])]
     r = random.Random(5)
     texts = [" ".join(pool[:3]), "Alone here. " + " ".join(pool[:3]) + " Not again."]  # one window of 33 words, then 23 more
     for _ in range(60):
         at, n = r.randrange(len(pool)), r.randint(2, 7)
-        texts.append(" ".join([words(r.randrange(10**6), 5) + ".", *(pool + pool)[at : at + n], r.choice(pool), words(r.randrange(10**6), 3) + "."]))
+        n += r.choice([0, 0, 20])
+        texts.append(" ".join([words(r.randrange(10**6), 5) + ".", *(pool * 4)[at : at + n], r.choice(pool), words(r.randrange(10**6), 3) + "."]))
     split = [[s.strip(SPACES) for s in re.split(r"(?<=\. )", t)] for t in texts]
     first, seen = {}, []
     for i, lines in enumerate(split):
@@ -327,6 +370,8 @@ def test_line_dedup_maximal_runs(spark):
         if j != i or p >= at + q - p:
             gone[i].update(range(p, q))
     got = {x.doc_id: x for x in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for k, v in before.items():
+        spark.conf.set(k, v)
     assert got[1].text == "Alone here. Not again." and got[1].deleted_lines == 3
     for i, lines in enumerate(split):
         assert got[i].deleted_lines == len(gone[i])
@@ -368,6 +413,10 @@ def test_packing(docs, rows, empty):
     spark = docs.sparkSession
     items = spark.range(40_000).select(F.col("id").alias("item"), (F.pmod(F.xxhash64("id"), F.lit(700)) + 1).alias("length"))
     placed = pack(items).join(items, "item").groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).agg(F.max("n"), F.sum("n"), F.count("*"), F.count_if(F.expr("n = m"))).first()
+    for low, high in ((1, 2048), (900, 1200), (1025, 1400), (1, 300)):
+        items = spark.range(30_000).select(F.col("id").alias("item"), (F.pmod(F.xxhash64("id"), F.lit(high - low + 1)) + low).alias("length"))
+        used = [pack(items, rising=rising).select("sequence_id").distinct().count() for rising in (8, 64, None)]
+        assert len(set(used)) == 1, (low, high, used)
     assert placed[0] <= 2048 and placed[2] == placed[3] and placed[2] <= placed[1] / 2048 * 1.002 + 1
     assert best_fit([5, 4, 3, 2], 7)[2] == [7, 7]
 
@@ -394,6 +443,8 @@ def test_url_rules(spark):
             got = judge_urls(pages, [UrlRule(*r) for r in given], ranges=ranges).collect()
             assert Counter(map(tuple, got)) == Counter((i, *brute(u, given)) for i, u in enumerate([*urls, *urls]))
     assert judge_urls(pages.limit(0)).count() == 0
+    nameless = judge_urls(pages.select(F.lit(None).cast("long").alias("page_id"), "url")).collect()
+    assert Counter(map(tuple, nameless)) == Counter((None, *brute(u, rules)) for u in [*urls, *urls])
 
 
 def test_toxicity(spark, docs, rows, empty):
