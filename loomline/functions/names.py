@@ -30,9 +30,26 @@ def normalize_identifier(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(split), r"[ \-./\\_]+", "_"), "^_+|_+$", "")
 
 
+#: Greek and Cyrillic letters, each with the Latin ones that stand for it.
+SCRIPTS = dict(
+    zip(
+        "αβγδεζηθικλμνξοπρσςτυφχψωабвгдезийклмнопрстуфхыэёжцчшщъьюяєіїґ",
+        "a b g d e z e th i k l m n x o p r s s t u ph kh ps o a b v g d e z i i k l m n o p r s t u f kh y e io zh ts ch sh shch \" ' iu ia ie i yi g".split(),
+        strict=True,
+    )
+)
+
+
 def _accents() -> tuple[str, str]:
-    """Letters with marks and their plain forms, from their decompositions."""
+    """Letters with marks and their plain forms, from their decompositions, and letters of other scripts that one letter stands for."""
     plain = dict(SINGLE)
+    for letter, latin in SCRIPTS.items():
+        if len(latin) == 1:
+            plain |= {letter: latin, letter.upper(): latin.upper()}
+    for p in range(0x370, 0x400):
+        base = unicodedata.normalize("NFD", chr(p))
+        if len(base) > 1 and base[0] in plain:
+            plain.setdefault(chr(p), plain[base[0]])
     for p in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         base = unicodedata.normalize("NFKD", chr(p))[0]
         if base.isascii() and base.isalpha():
@@ -41,7 +58,8 @@ def _accents() -> tuple[str, str]:
 
 
 def transliterate(text: Column) -> Column:
-    for letter, plain in LIGATURES.items():
+    several = {k: v for k, v in SCRIPTS.items() if len(v) > 1}
+    for letter, plain in (LIGATURES | several | {k.upper(): v.capitalize() for k, v in several.items()}).items():
         text = F.replace(text, F.lit(letter), F.lit(plain))
     return F.translate(text, *_accents())
 
@@ -168,19 +186,42 @@ def damerau_levenshtein(a: str, b: str) -> int:
     return d[len(a), len(b)]
 
 
-def _pairwise(measure, a: pd.Series, b: pd.Series) -> pd.Series:
-    known = {p: measure(*p) for p in {(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None}}
-    return pd.Series([known.get(p) for p in zip(a, b, strict=True)], dtype="float64")
+def jaro_winkler_similarity(a: Column, b: Column) -> Column:
+    """``jaro_winkler`` as a Column: letters of ``b`` that are matched become a mark, which says which are left."""
+    mark = F.lit("\x00")
 
+    def matched(n: Column) -> Column:
+        """struct(own: letters of a with a partner in their order, rest: b with marks), from the lengths ``n``."""
 
-@pandas_udf(DoubleType())
-def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(jaro_winkler, a, b)
+        def step(s: Column, i: Column) -> Column:
+            letter = F.substring(a, i, F.lit(1))
+            low = F.greatest(F.lit(1), i - n["reach"])
+            at = F.instr(F.substring(s["rest"], low, i + n["reach"] - low + 1), letter)
+            return F.when(at > 0, F.struct(F.concat(s["own"], letter).alias("own"), F.overlay(s["rest"], mark, low + at - 1).alias("rest"))).otherwise(s)
+
+        return F.aggregate(F.sequence(F.lit(1), n["a"]), F.struct(F.lit("").alias("own"), b.alias("rest")), step)
+
+    def scored(n: Column, s: Column) -> Column:
+        m = F.length(s["own"])
+        taken = F.filter(F.sequence(F.lit(1), n["b"]), lambda j: F.substring(s["rest"], j, F.lit(1)) == mark)
+        swapped = F.size(F.filter(F.transform(taken, lambda j, i: F.substring(b, j, F.lit(1)) != F.substring(s["own"], i + 1, F.lit(1))), lambda x: x))
+        jaro = (m / n["a"] + m / n["b"] + (m - F.floor(swapped / 2)) / m) / 3
+        same = lambda k: F.substring(a, F.lit(1), F.lit(k)) == F.substring(b, F.lit(1), F.lit(k))
+        prefix = sum((F.when(same(k) & (n["a"] >= k) & (n["b"] >= k), 1).otherwise(0) for k in range(1, 5)), F.lit(0))
+        return F.when(m == 0, F.lit(0.0)).otherwise(_let(jaro, lambda j: F.when(j <= 0.7, j).otherwise(j + 0.1 * prefix * (1 - j))))
+
+    def by_length(n: Column) -> Column:
+        return _let(matched(n), lambda s: scored(n, s))
+
+    reach = F.greatest(F.floor(F.greatest(F.length(a), F.length(b)) / 2).cast("int") - 1, F.lit(0))
+    sizes = F.struct(F.length(a).alias("a"), F.length(b).alias("b"), reach.alias("reach"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(_let(sizes, by_length)).cast("double")
 
 
 @pandas_udf(DoubleType())
 def damerau_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _pairwise(damerau_levenshtein, a, b)
+    known = {p: damerau_levenshtein(*p) for p in {(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None}}
+    return pd.Series([known.get(p) for p in zip(a, b, strict=True)], dtype="float64")
 
 
 def fuzzy_similarity(a: Column, b: Column, algorithm: str = "jaroWinkler") -> Column:
@@ -209,6 +250,20 @@ def has_synonym(a: Column, b: Column) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: (group(x) == group(y)) & (x != y)))
 
 
+STRATEGIES = ("exact", "plural", "synonym", "token", "fuzzy", "ngram")
+
+
+def score_reasons(score: Column, config: SemanticConfig) -> Column:
+    """Which strategies speak for a pair: array of struct(strategy, weight, score), those without a say left out; empty unless ``explain``."""
+    said = [
+        F.when(score[k] > 0, F.struct(F.lit(k).alias("strategy"), F.lit(getattr(config, f"weight_{k}")).alias("weight"), score[k].cast("double").alias("score")))
+        for k in STRATEGIES
+    ]
+    if not config.explain:
+        return F.array().cast("array<struct<strategy:string,weight:double,score:double>>")
+    return F.filter(F.array(*said), lambda x: x.isNotNull())
+
+
 def semantic_score(a: Column, b: Column, config: SemanticConfig) -> Column:
     """struct(score, decision, exact, plural, synonym, token, fuzzy, ngram) of two prepared names.
 

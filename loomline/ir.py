@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from loomline.functions.types import TYPE_STRUCT, CanonicalType
 
@@ -18,6 +21,24 @@ KEY_SCHEMA = "entity_idx int, key_type string, field_names array<string>, metada
 INDEX_SCHEMA = "entity_idx int, index_name string, index_type string, field_names array<string>, filter_condition string"
 
 
+def _shaped(value: object, kind: DataType) -> object:
+    """Tuples of structs as dicts, as Arrow takes them."""
+    if value is None:
+        return None
+    if isinstance(kind, StructType):
+        return {f.name: _shaped(v, f.dataType) for f, v in zip(kind.fields, value, strict=True)}
+    if isinstance(kind, ArrayType):
+        return [_shaped(v, kind.elementType) for v in value]
+    return list(value.items()) if isinstance(kind, MapType) else value
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a few rows that the planner knows: what is computed from it alone needs no job."""
+    kind = StructType.fromDDL(schema)
+    columns = [pa.array([_shaped(r[i], f.dataType) for r in rows], a.type) for i, (f, a) in enumerate(zip(kind.fields, to_arrow_schema(kind), strict=True))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=to_arrow_schema(kind)))
+
+
 def _filled(data: dict) -> dict:
     """Without empty lists and maps and absent values, as the JSON form omits them."""
     return {k: v for k, v in data.items() if v not in (None, [], {}, ())}
@@ -177,15 +198,15 @@ class Source:
             (i, e.entity_name, j, f.field_name, f.canonical_type.as_row(), f.nullable, [c.as_row() for c in f.constraints])
             for i, e in enumerate(self.entities) for j, f in enumerate(e.fields)
         ]
-        return Frames(self.source_name, spark.createDataFrame(entities, ENTITY_SCHEMA), spark.createDataFrame(fields, FIELD_SCHEMA))
+        return Frames(self.source_name, local_frame(spark, entities, ENTITY_SCHEMA), local_frame(spark, fields, FIELD_SCHEMA))
 
     def key_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, k.key_type, k.field_names, {a: str(b) for a, b in k.metadata.items()}) for i, e in enumerate(self.entities) for k in e.keys]
-        return spark.createDataFrame(rows, KEY_SCHEMA)
+        return local_frame(spark, rows, KEY_SCHEMA)
 
     def index_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, x.index_name, x.index_type, x.field_names, x.filter_condition) for i, e in enumerate(self.entities) for x in e.indexes]
-        return spark.createDataFrame(rows, INDEX_SCHEMA)
+        return local_frame(spark, rows, INDEX_SCHEMA)
 
 
 @dataclass

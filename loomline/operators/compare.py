@@ -9,16 +9,23 @@ from __future__ import annotations
 import uuid
 from functools import cached_property, lru_cache
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import names
 from loomline.functions.types import compare_types, type_name
-from loomline.ir import Frames
+from loomline.ir import CONSTRAINT, Frames
 from loomline.plans.config import CompareConfig, SemanticConfig
 
 PAIR = ["entity_a", "entity_b"]
+#: Rows up to which a relation of a comparison is held as a local one.
+LOCAL_ROWS = 20_000
+#: Candidate pairs up to which names are scored without a job.
+LOCAL_PAIRS = 20_000
 
 
 def _context() -> str:
@@ -47,40 +54,55 @@ def _score(context: str, sem: SemanticConfig) -> Column:
 def prepared(df: DataFrame, name: str, config: CompareConfig) -> DataFrame:
     """``df`` with ``n``: the normal forms of a name, each made once per name, before any pairing."""
     tokens, morph, n = _forms(_context(), name, config.semantic)
-    return df.withColumn("_tokens", tokens).withColumn("_morph", morph).withColumn("n", n).drop("_tokens", "_morph")
+    return df.select("*", tokens.alias("_tokens")).select("*", morph.alias("_morph")).select(*df.columns, n.alias("n"))
 
 
-def _keys(n: Column, config: CompareConfig) -> Column:
-    """The keys of which a matching pair shares one: raw and normal name, tokens and synonym groups."""
-    keys = F.array(F.concat(F.lit("r:"), n["raw"]), F.concat(F.lit("n:"), n["norm"]))
-    if config.semantic.enabled:
-        tokens = F.transform(F.array_distinct(n["morph"]), lambda t: F.concat(F.lit("t:"), t))
-        groups = F.transform(n["groups"], lambda g: F.concat(F.lit("s:"), F.split_part(g, F.lit(":"), F.lit(1))))
-        empty = F.when(F.size(n["morph"]) == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>"))
-        keys = F.array_distinct(F.concat(keys, tokens, groups, empty))
-    return keys
-
+@lru_cache(maxsize=64)
+def _keys(context: str, name: str, config: CompareConfig) -> Column:
+    """The keys of which a matching pair shares one.
 
-def can_block(config: CompareConfig) -> bool:
-    """Whether every match shares a key, by the bound on the evidence that needs none."""
-    return not config.similarity_matching and (not config.semantic.enabled or config.semantic.fewest_shared_tokens() > 0)
+    Raw and normal name; for semantic matches tokens and synonym groups, or, where these do
+    not bound the score, letters, as without a common one all measured evidence is 0; for
+    similar names their letters likewise.
+    """
+    n, none = F.col(name), F.array().cast("array<string>")
+    parts = [F.array(F.concat(F.lit("r:"), n["raw"]), F.concat(F.lit("n:"), n["norm"]))]
+    marked = lambda mark, values: F.transform(values, lambda v: F.concat(F.lit(mark), v))
+    letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    everything = config.similarity_matching and config.similarity_threshold <= 0
+    if config.semantic.enabled:
+        parts.append(F.when(F.size(n["morph"]) == 0, F.array(F.lit("e"))).otherwise(none))
+        if config.semantic.fewest_shared_tokens() > 0:
+            parts.append(marked("t:", n["morph"]))
+            parts.append(marked("s:", F.transform(n["groups"], lambda g: F.split_part(g, F.lit(":"), F.lit(1)))))
+        else:
+            parts.append(marked("m:", letters(n["sem"])))
+        least = config.semantic.probable_threshold if config.semantic.allow_probable_as_match else config.semantic.match_threshold
+        everything = everything or least <= 0
+    if config.similarity_matching:
+        parts.append(marked("c:", letters(n["raw"])))
+    if everything:  # settings under which each pair matches
+        parts.append(F.array(F.lit("*")))
+    return F.array_distinct(F.concat(*parts))
 
 
-def candidates(a: DataFrame, b: DataFrame, scope: list[str], key: list[str], config: CompareConfig) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, scope: list[str], config: CompareConfig) -> DataFrame:
     """Pairs of rows of ``a`` (columns ending in _a) and ``b`` that may match, each once.
 
-    An equi-join on the keys of both names; where these do not bound the matches, a join on
-    the scope alone, which compares all of two schemas.
+    An equi-join on the keys of both names.  A pair may share several keys and is taken under
+    the smallest of them, so nothing has to be made distinct.
     """
-    if not can_block(config):
-        return a.join(b, scope) if scope else a.join(b, F.lit(True))
-    left = a.withColumn("_k", F.explode(_keys(F.col("n_a"), config)))
-    right = b.withColumn("_k", F.explode(_keys(F.col("n_b"), config)))
-    return left.join(right, [*scope, "_k"]).drop("_k").dropDuplicates([*scope, *key])
+    first = F.array_min(F.array_intersect("_ks_a", "_ks_b")) == F.col("_k")
+    sides = []
+    for df, side in ((a, "a"), (b, "b")):
+        keyed = df.select("*", _keys(_context(), f"n_{side}", config).alias(f"_ks_{side}"))
+        sides.append(keyed.select("*", F.explode(f"_ks_{side}").alias("_k")))
+    return sides[0].join(sides[1], [*scope, "_k"]).where(first).drop("_k", "_ks_a", "_ks_b")
 
 
-def reasons(config: CompareConfig) -> Column:
-    """struct(reason, score, decision, details): the first test that holds, null if none does."""
+@lru_cache(maxsize=64)
+def _reasons(context: str, config: CompareConfig) -> Column:
+    """struct(reason, score, decision): the first test that holds, null if none does."""
     a, b = F.col("n_a"), F.col("n_b")
     none = F.lit(None).cast("string")
 
@@ -104,39 +126,72 @@ def reasons(config: CompareConfig) -> Column:
 
 def _matched(pairs: DataFrame, config: CompareConfig) -> DataFrame:
     if config.semantic.enabled:
-        pairs = pairs.withColumn("sem_score", _score(_context(), config.semantic))
-    found = pairs.withColumn("m", reasons(config)).where("m is not null")
+        pairs = pairs.select("*", _score(_context(), config.semantic).alias("sem_score"))
+    found = pairs.select("*", _reasons(_context(), config).alias("m")).where("m is not null")
     shown = F.when(F.col("m.reason") == "normalized_name", F.col("n_a.norm")).otherwise(F.col("n_a.raw"))
-    return found.withColumns({"name": shown, "reason": F.col("m.reason"), "score": F.col("m.score"), "decision": F.col("m.decision")}).drop("m")
+    return found.select("*", shown.alias("name"), "m.reason", "m.score", "m.decision")
 
 
 def _side(df: DataFrame, side: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{side}") for c in df.columns])
 
 
-def match_entities(a: Frames, b: Frames, config: CompareConfig) -> DataFrame:
-    """entity_a, entity_b, entity_name, reason, decision, score; many to many."""
+def local_candidates(a: DataFrame, b: DataFrame, named: DataFrame | None, config: CompareConfig) -> DataFrame | None:
+    """``candidates`` of two local relations as a local relation, or None if there are too many.
+
+    The same join on the same keys, by pandas: the planner computes a projection of a local
+    relation while it plans, so small schemas are matched without a job.
+    """
+    tables, keyed = [], []
+    for df, side in ((a, "a"), (b, "b")):
+        table = df.select("*", _keys(_context(), f"n_{side}", config).alias("_ks")).toArrow()
+        keys = table.column("_ks").combine_chunks()
+        rows = pd.DataFrame({side: np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy(zero_copy_only=False)), "k": keys.flatten().to_numpy(zero_copy_only=False)})
+        if named is not None:
+            rows[f"entity_{side}"] = table.column(f"entity_{side}").to_numpy()[rows[side]]
+        tables.append(table.drop_columns(["_ks", *([] if named is None else [f"entity_{side}"])]))
+        keyed.append(rows)
+    scope = None if named is None else named.toArrow()
+    if scope is None:
+        pairs = keyed[0].merge(keyed[1], on="k")
+    else:
+        place = pd.DataFrame({"p": np.arange(scope.num_rows), "entity_a": scope.column("entity_a").to_numpy(), "entity_b": scope.column("entity_b").to_numpy()})
+        pairs = place.merge(keyed[0], on="entity_a").merge(keyed[1], on=["entity_b", "k"])
+    which = ["a", "b"] if scope is None else ["p", "a", "b"]
+    pairs = pairs[which].drop_duplicates()
+    if len(pairs) > LOCAL_PAIRS:
+        return None
+    parts = [t.take(pa.array(pairs[w].to_numpy())) for w, t in zip(which, tables if scope is None else [scope, *tables], strict=True)]
+    names = [n for t in parts for n in t.column_names]
+    return a.sparkSession.createDataFrame(pa.Table.from_arrays([c for t in parts for c in t.columns], names=names))
+
+
+def match_entities(a: Frames, b: Frames, config: CompareConfig, local: bool = False) -> DataFrame:
+    """entity_a, entity_b, entity_name, reason, decision, score; many to many.  ``local``: both are local relations."""
     left = _side(prepared(a.entities, "entity_name", config), "a")
     right = _side(prepared(b.entities, "entity_name", config), "b")
-    found = _matched(candidates(left, right, [], ["entity_idx_a", "entity_idx_b"], config), config)
+    pairs = local_candidates(left, right, None, config) if local else None
+    found = _matched(candidates(left, right, [], config) if pairs is None else pairs, config)
     return found.select(F.col("entity_idx_a").alias("entity_a"), F.col("entity_idx_b").alias("entity_b"), F.col("name").alias("entity_name"), "reason", "decision", "score")
 
 
-def match_fields(pairs: DataFrame, a: Frames, b: Frames, config: CompareConfig) -> DataFrame:
+def match_fields(pairs: DataFrame, a: Frames, b: Frames, config: CompareConfig, local: bool = False) -> DataFrame:
     """Matches of fields within each matched pair of entities, with the types and flags of both."""
     left = _side(prepared(a.fields, "field_name", config).drop("entity_name"), "a").withColumnRenamed("entity_idx_a", "entity_a")
     right = _side(prepared(b.fields, "field_name", config).drop("entity_name"), "b").withColumnRenamed("entity_idx_b", "entity_b")
     named = pairs.select(*PAIR, "entity_name")
-    left, right = named.join(left, "entity_a"), named.select(*PAIR).join(right, "entity_b")
-    found = _matched(candidates(left, right, PAIR, ["field_idx_a", "field_idx_b"], config), config)
-    return found.select(
+    compared = local_candidates(left, right, named, config) if local else None
+    if compared is None:
+        compared = candidates(named.join(left, "entity_a"), named.select(*PAIR).join(right, "entity_b"), PAIR, config)
+    return _matched(compared, config).select(
         *PAIR, "entity_name", F.col("name").alias("field_name"), "reason", "decision", "score", F.col("field_idx_a").alias("index_a"), F.col("field_idx_b").alias("index_b"),
         "field_name_a", "field_name_b", "type_a", "type_b", "nullable_a", "nullable_b", "constraints_a", "constraints_b",
     )
 
 
-def conflicts(matches: DataFrame, config: CompareConfig) -> DataFrame:
-    """The rules over each matched pair of fields, as an array of findings that is exploded."""
+@lru_cache(maxsize=64)
+def _findings(context: str, config: CompareConfig) -> Column:
+    """What the rules find in a matched pair of fields, as an array."""
     none = F.lit(None)
 
     def finding(order: int, kind: str, severity: str, a: Column, b: Column, rule: str) -> Column:
@@ -151,7 +206,7 @@ def conflicts(matches: DataFrame, config: CompareConfig) -> DataFrame:
         said = [F.concat(F.lit("Nullable: "), F.col(c).cast("string")) for c in ("nullable_a", "nullable_b")]
         tests.append(F.when(~F.col("nullable_a") & F.col("nullable_b"), finding(1, "nullability_mismatch", "medium", *said, "Nullability must match or be compatible")))
     if config.check_constraints:
-        unique = [F.exists(F.coalesce(F.col(c), F.array().cast(matches.schema[c].dataType)), lambda x: x["constraint_type"] == "Unique") for c in ("constraints_a", "constraints_b")]
+        unique = [F.exists(F.coalesce(F.col(c), F.array().cast(f"array<{CONSTRAINT}>")), lambda x: x["constraint_type"] == "Unique") for c in ("constraints_a", "constraints_b")]
         length = [F.get(F.filter(c, lambda x: x["constraint_type"] == "MaxLength"), 0)["value"] for c in ("constraints_a", "constraints_b")]
         said = [F.concat(F.lit("Unique: "), u.cast("string")) for u in unique]
         tests.append(F.when(unique[0] != unique[1], finding(2, "constraint_mismatch", "medium", *said, "Constraints must be compatible")))
@@ -159,7 +214,12 @@ def conflicts(matches: DataFrame, config: CompareConfig) -> DataFrame:
         tests.append(F.when(length[0] != length[1], finding(3, "constraint_mismatch", "medium", *said, "Constraints must be compatible")))
     if not tests:
         tests = [F.when(F.lit(False), finding(0, "", "", none.cast("string"), none.cast("string"), ""))]
-    found = matches.withColumn("c", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())))
+    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+
+
+def conflicts(matches: DataFrame, config: CompareConfig) -> DataFrame:
+    """The rules over each matched pair of fields."""
+    found = matches.select("*", F.explode(_findings(_context(), config)).alias("c"))
     return found.select(*PAIR, "entity_name", "field_name_a", F.col("field_name_a").alias("field_name"), "c.*", "index_a", "index_b", "type_a", "type_b", F.lit(0).alias("stage")).drop("field_name_a")
 
 
@@ -196,22 +256,32 @@ class Comparison:
         self._held: list[DataFrame] = []
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        """A relation of a schema's size that is used many times, computed once.
+        """A relation that is used many times, computed once: as a local relation while it is small, persisted beyond.
 
-        A number of its own tells it apart, so that no later comparison takes it for its own,
-        even where a catalog has changed between the two.
+        Plans over a local relation are short, and most of a small comparison's time is planning.
+        A persisted one has a number of its own, so that no later comparison takes it for its
+        own, even where a catalog has changed between the two.
         """
+        if self.small:
+            rows = df.limit(LOCAL_ROWS + 1).toArrow()
+            if rows.num_rows <= LOCAL_ROWS:
+                return df.sparkSession.createDataFrame(rows)
         held = df.withColumn("_run", F.lit(uuid.uuid4().hex)).persist()
         self._held.append(held)
         return held.drop("_run")
 
+    @cached_property
+    def small(self) -> bool:
+        """Whether both schemas are so small that matches are worth collecting."""
+        return all(f.fields.select("field_idx").limit(LOCAL_ROWS + 1).toArrow().num_rows <= LOCAL_ROWS for f in (self.a, self.b))
+
     @cached_property
     def entity_matches(self) -> DataFrame:
-        return self._kept(match_entities(self.a, self.b, self.config))
+        return self._kept(match_entities(self.a, self.b, self.config, self.small))
 
     @cached_property
     def field_matches(self) -> DataFrame:
-        return self._kept(match_fields(self.entity_matches, self.a, self.b, self.config))
+        return self._kept(match_fields(self.entity_matches, self.a, self.b, self.config, self.small))
 
     @cached_property
     def all_matches(self) -> DataFrame:

@@ -9,18 +9,23 @@ from pyspark.sql.window import Window
 from loomline.functions.types import type_name
 from loomline.plans.config import ResolutionConfig
 
-#: Cast rules in order; (part of from, whole from, part of to, whole to, warning).
+#: Cast rules in order; (part of from, whole from, part of to, whole to, safe, note).
 CASTS = (
-    ("int8 tinyint", "", "int16 int32 int64 bigint", "", None),
-    ("int16 smallint", "", "int32 int64 bigint", "", None),
-    ("int32", "int", "int64 bigint", "", None),
-    ("int integer", "", "float double decimal", "", None),
-    ("int64 bigint", "", "int32 int16 int8", "int", "potential overflow"),
-    ("int32", "int", "int16 int8", "", "potential overflow"),
-    ("float double decimal", "", "int", "", "loss of decimal precision"),
-    ("varchar", "", "text", "", None),
-    ("text", "", "varchar", "", "potential truncation"),
+    ("int8 tinyint", "", "int16 int32 int64 bigint", "", True, ""),
+    ("int16 smallint", "", "int32 int64 bigint", "", True, ""),
+    ("int32", "int", "int64 bigint", "", True, ""),
+    ("int integer", "", "float double decimal", "", True, "Possible precision loss for very large integers"),
+    ("int64 bigint", "", "int32 int16 int8", "int", False, "Potential overflow if values exceed target range"),
+    ("int32", "int", "int16 int8", "", False, "Potential overflow if values exceed target range"),
+    ("float double decimal", "", "int", "", False, "Loss of decimal precision"),
+    ("varchar", "", "text", "", True, ""),
+    ("text", "", "varchar", "", False, "Potential truncation of long text"),
 )
+#: Confidences, and the least value of each level that reports name.
+CONFIDENCE = {"high": 0.9, "medium": 0.75, "low": 0.4}
+LEVELS = (("High", 0.85), ("Medium", 0.6), ("Low", 0.0))
+#: Kinds of suggestions; the last two are part of the model and no rule makes them.
+KINDS = ("cast_safe", "cast_risky", "rename_field", "prefer_type", "no_suggestion", "split_field", "merge_fields")
 NO_WAY = "No automatic suggestion available - manual resolution required"
 ORDER = ["stage", "entity_a", "entity_b", "index_a", "index_b", "rule_no"]
 
@@ -43,11 +48,23 @@ def _any(text: Column, parts: str, whole: str = "") -> Column:
 
 
 def cast_safety(source: Column, target: Column) -> Column:
-    """'safe', a warning, or null, by the first rule that fits the lower-cased type names."""
+    """struct(safe, note), or null, by the first rule that fits the lower-cased type names."""
     source, target = F.lower(source), F.lower(target)
-    case = F.when(F.lit(False), F.lit(None).cast("string"))
-    for a, a_whole, b, b_whole, warning in CASTS:
-        case = case.when(_any(source, a, a_whole) & _any(target, b, b_whole), F.lit(warning or "safe"))
+    case = F.when(F.lit(False), F.lit(None).cast("struct<safe:boolean,note:string>"))
+    for a, a_whole, b, b_whole, safe, note in CASTS:
+        case = case.when(_any(source, a, a_whole) & _any(target, b, b_whole), F.struct(F.lit(safe).alias("safe"), F.lit(note).alias("note")))
+    return case
+
+
+def clamped(confidence: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence.cast("double")))
+
+
+def confidence_level(confidence: Column) -> Column:
+    """High, Medium or Low."""
+    case = F.when(F.lit(False), "")
+    for name, least in LEVELS:
+        case = case.when(confidence >= least, name)
     return case
 
 
@@ -61,24 +78,33 @@ def _nothing(reason: Column) -> Column:
     return _suggestion("no_suggestion", 0.9, "critical", F.lit(NO_WAY), F.array(F.concat(F.lit("Reason: "), reason)), reason=reason)
 
 
+def collision_name(said: Column) -> Column:
+    """The name in a collision's evidence, quotes of its own included."""
+    return F.regexp_extract(said, "Field '(.*)' normalizes to '", 1)
+
+
 def suggest(conflicts: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
     """One row per suggestion: id, conflict_no, entity_name, field_name, kind, args, confidence, impact, explanation, evidence."""
     a, b = type_name(F.col("type_a")), type_name(F.col("type_b"))
-    safety = F.col("safety")
-    types = F.array(F.concat(F.lit("From type: "), a), F.concat(F.lit("To type: "), b))
-    safe = _suggestion("cast_safe", 0.9, "low", F.concat(F.lit("Safe widening cast from "), a, F.lit(" to "), b, F.lit(" - no data loss expected")), types, from_type=a, to_type=b)
-    risky = _suggestion("cast_risky", 0.75, "high", F.concat(F.lit("Narrowing or lossy cast from "), a, F.lit(" to "), b, F.lit(" - "), safety), F.concat(types, F.array(F.concat(F.lit("Warning: "), safety))), from_type=a, to_type=b, warning=safety)
+    safety, note = F.col("safety.safe"), F.col("safety.note")
+    types = F.array(F.concat(F.lit("Source type: "), a), F.concat(F.lit("Target type: "), b))
+    promise = F.concat(types, F.array(F.lit("No data loss expected")), F.when(note != "", F.array(F.concat(F.lit("Note: "), note))).otherwise(F.array().cast("array<string>")))
+    safe = _suggestion("cast_safe", 0.9, "low", F.concat(F.lit("Safe widening cast from "), a, F.lit(" to "), b, F.lit(" - no data loss expected")), promise, from_type=a, to_type=b)
+    risky = _suggestion("cast_risky", 0.75, "high", F.concat(F.lit("Narrowing or lossy cast from "), a, F.lit(" to "), b, F.lit(" - "), note), F.concat(types, F.array(F.concat(F.lit("Warning: "), note))), from_type=a, to_type=b, warning=note)
     unfit = _nothing(F.concat(F.lit("Type incompatibility between "), a, F.lit(" and "), b, F.lit(" cannot be automatically resolved")))
-    cast = F.when(safety == "safe", safe).when(safety.isNotNull() & F.lit(config.allow_risky_suggestions), risky).otherwise(unfit)
+    cast = F.when(safety, safe).when(~safety & F.lit(config.allow_risky_suggestions), risky).otherwise(unfit)
 
-    named = [F.regexp_extract(c, "Field '([^']*)'", 1) for c in ("from_a", "from_b")]
+    named = [collision_name(F.col(c)) for c in ("from_a", "from_b")]
 
-    def rename(name: Column, suffix: str) -> Column:
+    def rename(name: Column, suffix: str, why: str, explanation: Column) -> Column:
         new = F.concat(F.lower(name), F.lit(suffix))
-        why = F.lit("Normalization collision")
-        return _suggestion("rename_field", 0.9, "medium", F.concat(F.lit("Rename '"), name, F.lit("' to '"), new, F.lit("' to avoid the collision")), F.array(F.concat(F.lit("Original: "), name), F.concat(F.lit("Suggested: "), new)), original_name=name, suggested_name=new, reason=why)
+        said = F.array(F.concat(F.lit("Original name: "), name), F.concat(F.lit("Suggested name: "), new), F.lit(f"Reason: {why}"))
+        return _suggestion("rename_field", 0.9, "medium", explanation, said, original_name=name, suggested_name=new, reason=F.lit(why))
 
-    renames = F.filter(F.array(rename(named[0], "_a"), rename(named[1], "_b"), F.when(named[0] != F.lower(named[0]), rename(named[0], "_src_a"))), lambda x: x.isNotNull())
+    told = lambda suffix, other: F.concat(F.lit(f"Add suffix '{suffix}' to distinguish from conflicting field '"), other, F.lit("'"))
+    both = [rename(named[i], suffix, "Normalization collision", told(suffix, named[1 - i])) for i, suffix in enumerate(("_a", "_b"))]
+    third = rename(named[0], "_src_a", "Preserve original distinction", F.lit("Keep normalized name but add source suffix to preserve distinction"))
+    renames = F.filter(F.array(*both, F.when(named[0] != F.lower(named[0]), third)), lambda x: x.isNotNull())
     flags = [F.contains(F.lower(c), F.lit("true")) for c in ("from_a", "from_b")]
     nullable = F.when(flags[0] != flags[1], _suggestion("prefer_type", 0.9, "low", F.lit("Use NULLABLE to accommodate both schemas"), F.array("from_a", "from_b"), preferred_type=F.lit("NULLABLE"))).otherwise(_nothing(F.lit("Nullability mismatch cannot be automatically resolved")))
     length = _suggestion("prefer_type", 0.75, "medium", F.lit("Use the larger length or precision"), F.array("from_a", "from_b"), preferred_type=F.lit("Larger length/precision"))
@@ -115,6 +141,13 @@ def decide(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def decisions_for(decisions: DataFrame, entity_name: str | None = None, accepted: bool | None = None) -> DataFrame:
+    """The decisions on an entity, or the accepted or rejected ones, or both together."""
+    if entity_name is not None:
+        decisions = decisions.where(F.col("entity_name") == entity_name)
+    return decisions if accepted is None else decisions.where(F.col("accepted") == accepted)
+
+
 def mark(decisions: DataFrame, ids: list[str], status: str) -> DataFrame:
     """Set the status (applied, rejected or superseded) of some decisions."""
     return decisions.withColumn("status", F.when(F.col("decision_id").isin(ids), status).otherwise(F.col("status")))
@@ -131,10 +164,10 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")]), severity)
 
 
-def top_conflicts(conflicts: DataFrame, n: int = 5) -> DataFrame:
-    """The n entities with most conflicts, by count, then by the highest severity."""
+def top_conflicts(conflicts: DataFrame, n: int = 5, by_severity: bool = True) -> DataFrame:
+    """The n entities with most conflicts, by count, then by the highest severity (or by name alone)."""
     grouped = conflicts.groupBy("entity_name").agg(F.count("*").alias("n_conflicts"), F.max(F.struct(severity_rank(F.col("severity")).alias("rank"), "severity")).alias("top"))
-    ordered = grouped.orderBy(F.desc("n_conflicts"), F.desc("top.rank"), "entity_name").limit(n)
+    ordered = grouped.orderBy(F.desc("n_conflicts"), *([F.desc("top.rank")] if by_severity else []), "entity_name").limit(n)
     return ordered.select("entity_name", "n_conflicts", F.col("top.severity").alias("highest_severity"))
 
 
@@ -142,6 +175,20 @@ def conflicts_by_type_severity(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy("conflict_type", "severity").agg(F.count("*").alias("n"))
 
 
+def match_reasons(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("reason").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("average_score"))
+
+
+def suggestion_levels(suggestions: DataFrame) -> DataFrame:
+    return suggestions.groupBy("kind", confidence_level(F.col("confidence")).alias("level")).agg(F.count("*").alias("n"))
+
+
+def unresolved(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row: conflicts beyond the number of accepted decisions."""
+    rows = conflicts.select(F.lit(1).alias("c"), F.lit(0).alias("d")).unionByName(decisions.where("accepted").select(F.lit(0).alias("c"), F.lit(1).alias("d")))
+    return rows.agg(F.greatest(F.lit(0).cast("long"), F.coalesce(F.sum("c") - F.sum("d"), F.lit(0).cast("long"))).alias("unresolved"))
+
+
 def summary(matches: DataFrame, conflicts: DataFrame, exclusives: DataFrame) -> DataFrame:
     """One row: matches, exclusives, conflicts, exclusives_a, exclusives_b."""
     rows = (

@@ -8,26 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import names
 from loomline.functions.types import DISPLAY, TYPE_STRUCT, compare_types, is_compatible_with, type_name
-from loomline.ir import Frames
+from loomline.ir import Constraint, Entity, Field, Frames, Key, local_frame  # noqa: F401
 from loomline.operators import resolve
 from loomline.operators.compare import Comparison, compare
 from loomline.plans.config import CompareConfig, SemanticConfig
-from loomline.sources.databases import from_dataframes, infer_documents
+from loomline.sources.databases import from_dataframes
 
 TABLES = sorted("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 #: Exact and normal names only, so that SQL can state every relation of the comparison.
 BY_NAME = CompareConfig(semantic=SemanticConfig(enabled=False))
 
 
+@lru_cache(maxsize=1)
+def _pool() -> ThreadPoolExecutor:
+    """Threads that wait side by side, as each table's schema takes a footer to be read."""
+    return ThreadPoolExecutor(len(TABLES))
+
+
 def schema_a(spark: SparkSession, sf_dir: str) -> Frames:
-    with ThreadPoolExecutor(len(TABLES)) as pool:  # each reads a footer, so they wait side by side
-        tables = list(pool.map(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), TABLES))
+    tables = list(_pool().map(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), TABLES))
     source = from_dataframes(dict(zip(TABLES, tables, strict=True)), "tables")
     frames = source.frames(spark)
     return Frames("a", frames.entities, frames.fields.withColumn("nullable", F.col("field_idx") % 2 == 1))
@@ -168,43 +174,17 @@ def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.decision_summary(resolve.auto_decide(resolve.suggest(_by_name(spark, sf_dir).conflicts)))
 
 
-def url_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format, safety and export form of every url, as Columns over a whole table."""
-    url = F.concat("url", F.when(F.col("page_id") % 4 == 0, F.lit(".csv?x=1")).when(F.col("page_id") % 4 == 1, F.lit(".DDL")).otherwise(F.lit("")))
-    path = F.lower(F.split_part(url, F.lit("?"), F.lit(1)))
-    kind = F.when(F.contains(url, F.lit("docs.google.com/spreadsheets")), "csv")
-    for suffix, k in ((".csv", "csv"), (".json", "json"), (".xml", "xml"), (".sql", "sql"), (".ddl", "sql")):
-        kind = kind.when(path.endswith(suffix), k)
-    host = F.regexp_extract(url, "^[^:]*://([^/?#:]*)", 1)
-    private = host.rlike(r"^(localhost|127\.0\.0\.1|\[?::1\]?)$|^(10|192\.168|169\.254|172\.(1[6-9]|2\d|3[01]))\.")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", kind.alias("format"), (url.rlike("^https?://") & ~private).alias("safe"))
-
-
-def doc_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = infer_documents(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", None)
-    return found.select("field_name", type_name(F.col("type")).alias("type_name"), "nullable", "seen")
-
-
-def link_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names that share most of their words: an equi-join on words, then the similarity."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name")).where("name is not null").distinct()
-    parts = parts.withColumn("words", F.array_distinct(F.split("name", " ")))
-    left = parts.withColumn("w", F.explode("words"))
-    right = left.select(F.col("name").alias("other"), F.col("words").alias("other_words"), "w")
-    pairs = left.join(right, "w").where("name < other").groupBy("name", "other").agg(F.count("*").alias("shared"), F.first(F.size("words")).alias("x"), F.first(F.size("other_words")).alias("y"))
-    score = F.col("shared") / (F.col("x") + F.col("y") - F.col("shared"))
-    return pairs.where(score >= 0.6).select("name", "other", F.round(score, 6).alias("score"))
-
-
 QUERIES = [
     compare_matches, ir_entities, ir_fields, ir_type_histogram, normalize_identifiers, semantic_tokens, singularize_tokens, set_similarities, fuzzy_similarities,
     type_compatibility_matrix, match_fields, exclusives, conflicts, unified_fields, comparison_summary, report_metrics, top_conflicts, conflicts_by_type_severity,
-    suggestions, auto_decisions, decision_summary, url_sources, doc_inference, link_part_names,
+    suggestions, auto_decisions, decision_summary,
 ]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    from loomline import rule_queries, source_queries  # they build on this module
+
+    return {f.__name__: f for f in [*QUERIES, *source_queries.QUERIES, *rule_queries.QUERIES]}
 
 
 _LIST = ", ".join(f"'{t}'" for t in TABLES)
@@ -250,15 +230,6 @@ def _case(tests: list[tuple[str, str]], other: str) -> str:
     return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in tests) + f" ELSE {other} END"
 
 
-def _matrix_sql() -> str:
-    from loomline.functions.types import CAST, COMPATIBLE, STRICT, WIDENING
-
-    pairs = lambda s: ", ".join(f"('{a}', '{b}')" for a, b in sorted(s))
-    tags = ", ".join(f"('{t}')" for t in DISPLAY)
-    verdict = _case([("a = b", "'identical'"), (f"(a, b) IN ({pairs(COMPATIBLE)})", "'compatible'"), (f"(a, b) IN ({pairs(WIDENING)})", "'widening_safe'"), (f"(a, b) IN ({pairs(CAST)})", "'requires_cast'")], "'incompatible'")
-    return f"SELECT x.t AS from_type, y.t AS to_type, {verdict.replace('a = b', 'x.t = y.t').replace('(a, b)', '(x.t, y.t)')} AS verdict, x.t <> 'unknown' AND (x.t = y.t OR (x.t, y.t) IN ({pairs(STRICT)})) AS strict FROM (VALUES {tags}) x(t), (VALUES {tags}) y(t)"
-
-
 _WORDS = "string_split(lower({0}), '_')"
 _GRAMS = "list_distinct([lower({0})[g:g+2] FOR g IN range(1, greatest(length({0}) - 2, 1) + 1)])"
 
@@ -291,8 +262,9 @@ def oracle_sql() -> dict[str, str]:
     camel = "regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
     raw_id = f"' ' || {title('entity')} || {title('b')} || '-é.2Go/'"
     raw_sem = f"{title('entity')} || {title('a')} || '.tmp Table'"
-    url = "url || CASE WHEN page_id % 4 = 0 THEN '.csv?x=1' WHEN page_id % 4 = 1 THEN '.DDL' ELSE '' END"
-    return {
+    from loomline import rule_queries, source_queries
+
+    return source_queries.oracle_sql() | rule_queries.oracle_sql() | {
         "ir_entities": w + "SELECT e AS entity_idx, entity AS entity_name, count(*) AS n_fields FROM a GROUP BY 1, 2",
         "ir_fields": w + "SELECT entity AS entity_name, i AS field_idx, field AS field_name, type AS type_name, nullable FROM a",
         "ir_type_histogram": w + "SELECT type AS type_name, count(*) AS n FROM a GROUP BY 1",
@@ -301,7 +273,6 @@ def oracle_sql() -> dict[str, str]:
         "singularize_tokens": w + f", q AS (SELECT DISTINCT unnest(string_split(lower(concat_ws('_', entity, a, b, 'categories_knives_addresses_boxes_branches_dishes_potatoes_class_status_analysis_people_days')), '_')) AS word FROM p) SELECT word, {_singular_sql()} AS singular FROM q WHERE word <> ''",
         "set_similarities": w + f"SELECT entity AS entity_name, a, b, {_set(*words, False)} AS token_jaccard, {_set(*words, True)} AS token_dice, {_set(*grams, False)} AS ngram_jaccard, {_set(*grams, True)} AS ngram_dice FROM p",
         "fuzzy_similarities": w + "SELECT entity AS entity_name, a, b, round(jaro_winkler_similarity(a, lower(b)), 6) AS jaro_winkler, round(1 - levenshtein(a, lower(b)) / greatest(length(a), length(b))::DOUBLE, 6) AS levenshtein, round(1 - damerau_levenshtein(a, lower(b)) / greatest(length(a), length(b))::DOUBLE, 6) AS damerau FROM p",
-        "type_compatibility_matrix": _matrix_sql(),
         "match_fields": x + "SELECT entity AS entity_name, fa AS field_name_a, fb AS field_name_b, reason, score, ia AS index_a, ib AS index_b FROM m",
         "exclusives": x + "SELECT entity AS entity_name, field AS field_name, side, i AS index, true AS safe_to_add FROM x",
         "conflicts": x + "SELECT entity AS entity_name, fa AS field_name, kind AS conflict_type, severity, from_a, from_b, rule, ia AS index_a, ib AS index_b FROM k",
@@ -319,7 +290,4 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN suggestion = 'no_suggestion' THEN '{resolve.NO_WAY}' ELSE 'Use NULLABLE to accommodate both schemas' END AS explanation FROM s""",
         "auto_decisions": x + "SELECT 'auto_dec_' || (n + 1) AS decision_id, 'sug_' || n AS suggestion_id, entity AS entity_name, fa AS field_name, true AS accepted, 'Automated by rule: high_confidence_auto_accept' AS rationale FROM s",
         "decision_summary": x + "SELECT count(*) AS total, count(*) AS accepted, 0::BIGINT AS rejected, count(*) AS system_decisions, 0::BIGINT AS user_decisions FROM s",
-        "url_sources": f"WITH q AS (SELECT page_id, {url} AS url FROM pages), r AS (SELECT *, lower(split_part(url, '?', 1)) AS path, regexp_extract(url, '^[^:]*://([^/?#:]*)', 1) AS host FROM q) SELECT page_id, CASE WHEN contains(url, 'docs.google.com/spreadsheets') OR ends_with(path, '.csv') THEN 'csv' WHEN ends_with(path, '.json') THEN 'json' WHEN ends_with(path, '.xml') THEN 'xml' WHEN ends_with(path, '.sql') OR ends_with(path, '.ddl') THEN 'sql' END AS format, regexp_matches(url, '^https?://') AND NOT regexp_matches(host, '^(localhost|127\\.0\\.0\\.1|::1)$|^(10|192\\.168|169\\.254|172\\.(1[6-9]|2[0-9]|3[01]))\\.') AS safe FROM r",
-        "doc_inference": "WITH q AS (SELECT props, unnest(json_keys(props)) AS k FROM events), r AS (SELECT k, json_type(props, '$.' || k) AS t FROM q) SELECT k AS field_name, CASE WHEN bool_and(t IN ('UBIGINT', 'BIGINT')) THEN 'Int64' WHEN bool_and(t = 'VARCHAR') THEN 'String' WHEN bool_and(t = 'BOOLEAN') THEN 'Boolean' WHEN bool_and(t = 'DOUBLE') THEN 'Float64' ELSE 'Unknown(mixed)' END AS type_name, count(*) < (SELECT count(*) FROM events) AS nullable, count(*) AS seen FROM r GROUP BY k",
-        "link_part_names": "WITH q AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS w FROM part WHERE p_name IS NOT NULL), r AS (SELECT x.name, y.name AS other, len(list_intersect(x.w, y.w)) AS s, len(x.w) AS n, len(y.w) AS m FROM q x JOIN q y ON x.name < y.name) SELECT name, other, round(s / (n + m - s)::DOUBLE, 6) AS score FROM r WHERE s / (n + m - s)::DOUBLE >= 0.6",
     }

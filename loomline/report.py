@@ -9,10 +9,12 @@ import json
 from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline import __version__
 from loomline.functions.types import type_name
+from loomline.ir import local_frame
 from loomline.operators import resolve
 from loomline.operators.compare import Comparison
 from loomline.plans.config import ResolutionConfig
@@ -36,6 +38,17 @@ def _kind(s: dict) -> str:
     return f"{_camel(s['kind'])} {{ {named} }}"
 
 
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """The decisions of a written decision log, with the columns of ``resolve.auto_decide`` and a timestamp."""
+    log = json.loads(Path(path).read_text(encoding="utf-8"))
+    rows = []
+    for d in log["decisions"]:
+        (source, by), = d["source"].items()
+        s = d["suggestion"]
+        rows.append((d["id"], s["id"], s["entity_name"], s["field_name"], d["accepted"], source, by.get("rule"), d["rationale"], d["status"], d["timestamp"]))
+    return local_frame(spark, rows, "decision_id string, suggestion_id string, entity_name string, field_name string, accepted boolean, source string, rule string, rationale string, status string, timestamp string")
+
+
 class Result:
     """A comparison with its suggestions and decisions, collected in their order."""
 
@@ -52,6 +65,7 @@ class Result:
         self.conflicts = rows(found.withColumn("type_a", type_name(F.col("type_a"))).withColumn("type_b", type_name(F.col("type_b"))).orderBy("conflict_no"))
         self.metrics = rows(resolve.metrics(matches, c.conflicts, c.exclusives))[0]
         self.top = rows(resolve.top_conflicts(c.conflicts))
+        self.top_by_count = rows(resolve.top_conflicts(c.conflicts, by_severity=False))
         suggestions = resolve.suggest(c.conflicts, resolution)
         self.suggestions = rows(suggestions.orderBy("no"))
         self.time = datetime.now(UTC).isoformat()
@@ -92,6 +106,20 @@ class Result:
         accepted = sum(d["accepted"] for d in self.decisions)
         return {"metadata": {"version": VERSION, "created_at": self.time, "total_decisions": len(decisions), "accepted_count": accepted, "rejected_count": len(decisions) - accepted, "schema_a_id": self.name_a, "schema_b_id": self.name_b}, "decisions": decisions}
 
+    def decision_log_markdown(self) -> str:
+        """The decision log by itself."""
+        log = self.decision_log()
+        m = log["metadata"]
+        out = ["# Decision Log", "", f"**Version:** {m['version']}", f"**Created:** {m['created_at']}", f"**Updated:** {m['created_at']}", "", "## Summary", ""]
+        out += [f"- Total Decisions: {m['total_decisions']}", f"- Accepted: {m['accepted_count']}", f"- Rejected: {m['rejected_count']}", ""]
+        out += ["## Decisions", ""] if log["decisions"] else []
+        for n, d in enumerate(log["decisions"], 1):
+            s = d["suggestion"]
+            out += [f"### {n}. Decision {d['id']}", "", "- **Status:** " + ("✅ Accepted" if d["accepted"] else "❌ Rejected"), f"- **Entity:** {s['entity_name']}"]
+            out += [f"- **Field:** {s['field_name']}"] if s["field_name"] else []
+            out += [f"- **Rationale:** {d['rationale']}", f"- **Timestamp:** {d['timestamp']}", ""]
+        return "\n".join(out)
+
     def risk_reasons(self) -> list[str]:
         m, out = self.metrics, []
         if m["critical_conflicts"]:
@@ -168,7 +196,7 @@ class Result:
     def _resolution(self) -> list[str]:
         if not self.suggestions:
             return []
-        level = lambda c: "High" if c >= 0.85 else "Medium" if c >= 0.6 else "Low"
+        level = lambda c: next(name for name, least in resolve.LEVELS if c >= least)
         status = {d["suggestion_id"]: d["accepted"] for d in self.decisions}
         n = [sum(level(s["confidence"]) == k for s in self.suggestions) for k in ("High", "Medium")]
         out = ["## Resolution Suggestions", "", "### Summary", "", f"- **Total Suggestions**: {len(self.suggestions)}", f"- **High Confidence** (≥0.85): {n[0]}", f"- **Medium Confidence** (0.60-0.84): {n[1]}", f"- **Auto-accepted**: {sum(status.values())}", ""]
@@ -207,7 +235,7 @@ class Result:
             "executive_summary": {
                 "compatibility_overview": {"total_matches": m["total_matches"], "total_exclusives": m["total_exclusives"], "total_conflicts": m["total_conflicts"], "exclusives_from_a": m["exclusives_a"], "exclusives_from_b": m["exclusives_b"], "compatibility_score": m["compatibility_score"], "safe_addition_rate": m["safe_addition_rate"], "conflict_rate": m["conflict_rate"]},
                 "risk_assessment": {"risk_level": m["risk_level"], "critical_conflicts": m["critical_conflicts"], "high_severity_conflicts": m["high_severity_conflicts"], "reasons": self.risk_reasons()},
-                "top_conflicts": [{"entity_name": t["entity_name"], "conflict_count": t["n_conflicts"], "highest_severity": t["highest_severity"].capitalize()} for t in self.top] or None,
+                "top_conflicts": [{"entity_name": t["entity_name"], "conflict_count": t["n_conflicts"], "highest_severity": t["highest_severity"].capitalize()} for t in self.top_by_count] or None,
             },
             "detailed_breakdown": {
                 "matches": {"total": m["total_matches"], "exact_name_matches": counts["exact_name"], "normalized_matches": counts["normalized_name"], "similarity_matches": counts["similarity"], "average_confidence": m["average_match_confidence"]},
