@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,8 +85,9 @@ def collision_name(said: Column) -> Column:
     return F.regexp_extract(said, "Field '(.*)' normalizes to '", 1)
 
 
-def suggest(conflicts: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
-    """One row per suggestion: id, conflict_no, entity_name, field_name, kind, args, confidence, impact, explanation, evidence."""
+@lru_cache(maxsize=16)
+def _options(context: str, config: ResolutionConfig) -> tuple[Column, Column]:
+    """(what the cast rules say, the suggestions for a conflict); built once per context, as that takes many calls to the JVM."""
     a, b = type_name(F.col("type_a")), type_name(F.col("type_b"))
     safety, note = F.col("safety.safe"), F.col("safety.note")
     types = F.array(F.concat(F.lit("Source type: "), a), F.concat(F.lit("Target type: "), b))
@@ -116,7 +119,13 @@ def suggest(conflicts: DataFrame, config: ResolutionConfig = ResolutionConfig())
         .when(kind == "length_mismatch", F.array(length))
         .otherwise(F.array(_nothing(F.lit("Constraint conflicts require manual resolution"))))
     )
-    rows = conflict_order(conflicts).withColumn("safety", cast_safety(a, b)).select("conflict_no", "entity_name", "field_name", F.posexplode(options).alias("option_no", "s"))
+    return cast_safety(a, b), options
+
+
+def suggest(conflicts: DataFrame, config: ResolutionConfig = ResolutionConfig()) -> DataFrame:
+    """One row per suggestion: id, conflict_no, entity_name, field_name, kind, args, confidence, impact, explanation, evidence."""
+    safety, options = _options(conflicts.sparkSession.sparkContext.applicationId, config)
+    rows = conflict_order(conflicts).select("*", safety.alias("safety")).select("conflict_no", "entity_name", "field_name", F.posexplode(options).alias("option_no", "s"))
     rows = numbered(rows, "no", "conflict_no", "option_no")
     field = F.coalesce("field_name", "s.args.original_name")
     return rows.select("no", F.concat(F.lit("sug_"), F.col("no")).alias("id"), "conflict_no", "entity_name", field.alias("field_name"), "s.*")

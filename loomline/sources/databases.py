@@ -250,14 +250,15 @@ EXTENDED_TAGS = {
 
 def variant_tag(value: Column) -> Column:
     """The tag of a variant's type; decimals are how a variant holds plain fractions, and so doubles."""
-    kind = F.schema_of_variant(value)
-    tag = F.when(value.isNull(), "null")
-    for name, said in VARIANT_TAGS.items():
-        tag = tag.when(kind == name, said)
-    special = F.regexp_extract(kind, r"^OBJECT<`?\$(\w+)`?: ", 1)
-    for name, said in EXTENDED_TAGS.items():
-        tag = tag.when(special == name, said)
-    return tag.when(kind.startswith("DECIMAL") | (kind == "FLOAT"), "double").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise(F.lower(kind))
+    table = lambda tags: F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])
+
+    def of(kind: Column) -> Column:
+        special = F.when(kind.startswith("OBJECT<"), table(EXTENDED_TAGS)[F.regexp_extract(kind, r"^OBJECT<`?\$(\w+)`?: ", 1)])
+        rest = F.when(kind.startswith("DECIMAL") | (kind == "FLOAT"), "double").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise(F.lower(kind))
+        return F.coalesce(table(VARIANT_TAGS)[kind], special, rest)
+
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    return F.element_at(F.transform(F.array(kind), of), 1)
 
 
 def infer_documents(docs: DataFrame, column: str, sample_size: int | None = 100) -> DataFrame:
