@@ -297,7 +297,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # rows that surely have no copies pass without a shuffle of their text
     holding = survivors_bitmap(cuts, "key_a")
     left = may_hold(keyed, "key_a", holding, keep=False).select(*columns, F.lit(0).cast("long").alias("deleted_lines"))
-    held = may_hold(keyed, "key_a", holding).join(cuts, _KEY, "left")
+    # the cuts grow with the input, so they are not broadcast on an estimate of their size
+    held = may_hold(keyed, "key_a", holding).join(cuts.hint("merge"), _KEY, "left")
     begins = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["at_end"] + 1))
     ends = F.concat(F.transform("cuts", lambda c: c["at"]), F.array(F.lit((1 << 31) - 1)))
     spans = F.arrays_zip(begins.alias("b"), ends.alias("e"))
