@@ -248,17 +248,14 @@ EXTENDED_TAGS = {
 }
 
 
-def variant_tag(value: Column) -> Column:
-    """The tag of a variant's type; decimals are how a variant holds plain fractions, and so doubles."""
-    table = lambda tags: F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])
-
-    def of(kind: Column) -> Column:
-        special = F.when(kind.startswith("OBJECT<"), table(EXTENDED_TAGS)[F.regexp_extract(kind, r"^OBJECT<`?\$(\w+)`?: ", 1)])
-        rest = F.when(kind.startswith("DECIMAL") | (kind == "FLOAT"), "double").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise(F.lower(kind))
-        return F.coalesce(table(VARIANT_TAGS)[kind], special, rest)
-
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    return F.element_at(F.transform(F.array(kind), of), 1)
+def variant_tag(kind: Column) -> Column:
+    """The tag for the type of a variant, as ``schema_of_variant`` writes it; decimals are how a variant holds plain fractions, and so doubles."""
+    tag = F.when(kind.isNull(), "null")
+    for name, said in VARIANT_TAGS.items():
+        tag = tag.when(kind == name, said)
+    table = F.create_map(*[F.lit(x) for pair in EXTENDED_TAGS.items() for x in pair])
+    tag = tag.when(kind.startswith("OBJECT<"), F.coalesce(table[F.regexp_extract(kind, r"^OBJECT<`?\$(\w+)`?: ", 1)], F.lit("object")))
+    return tag.when(kind.startswith("DECIMAL") | (kind == "FLOAT"), "double").when(kind.startswith("ARRAY"), "array").otherwise(F.lower(kind))
 
 
 def infer_documents(docs: DataFrame, column: str, sample_size: int | None = 100) -> DataFrame:
@@ -271,14 +268,14 @@ def infer_documents(docs: DataFrame, column: str, sample_size: int | None = 100)
         if not 1 <= sample_size <= 10_000:
             raise SourceError("the sample must have 1 to 10000 documents")
         docs = docs.limit(sample_size)
-    # the documents are read once: each sends its fields and, under no name, itself
-    fields = F.map_entries(F.try_parse_json(column).cast("map<string,variant>"))
-    named = F.transform(F.coalesce(fields, F.array().cast("array<struct<key:string,value:variant>>")), lambda e: F.struct(e["key"].alias("name"), variant_tag(e["value"]).alias("tag")))
-    entries = docs.select(F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit("null").alias("tag"))), named)).alias("e"))
-    counted = entries.groupBy(F.col("e.name").alias("field_name")).agg(
-        F.array_sort(F.collect_set(F.when(F.col("e.tag") != "null", F.col("e.tag")))).alias("tags"), F.count("*").alias("seen"), F.count_if(F.col("e.tag") == "null").alias("nulls")
+    # the documents are read once: each has one row with its first field, or one without a field
+    entries = docs.select(F.posexplode_outer(F.try_parse_json(column).cast("map<string,variant>")).alias("pos", "field_name", "value"))
+    tagged = entries.select("pos", "field_name", F.schema_of_variant("value").alias("kind")).select("pos", "field_name", variant_tag(F.col("kind")).alias("tag"))
+    counted = tagged.groupBy("field_name").agg(
+        F.array_sort(F.collect_set(F.when(F.col("tag") != "null", F.col("tag")))).alias("tags"), F.count("*").alias("seen"), F.count_if(F.col("tag") == "null").alias("nulls"),
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("documents"),
     )
-    total = F.max(F.when(F.col("field_name").isNull(), F.col("seen"))).over(Window.partitionBy())  # one row for each field
+    total = F.sum("documents").over(Window.partitionBy())  # one row for each field
     grouped = counted.withColumn("total", total).where("field_name is not null")
     unknown = lambda text: F.struct(F.lit("unknown").alias("tag"), F.lit(None).cast("int").alias("precision"), F.lit(None).cast("int").alias("scale"), text.alias("original"))
     kind = F.when(F.size("tags") == 1, canonical_column("bson", F.get("tags", 0))).when(F.size("tags") == 0, unknown(F.lit("null"))).otherwise(unknown(F.concat(F.lit("mixed: "), F.array_join("tags", ", "))))
