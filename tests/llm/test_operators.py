@@ -492,6 +492,178 @@ def test_language(spark, docs, rows, empty):
     assert identify(empty).count() == 0 and {x.lang_pred for x in identify(docs, empty).collect()} == {"und"}
 
 
+def test_boosting_equals_plain_loops():
+    """Every node tries every cut of every feature; leaves are Newton steps."""
+    from loomline.llm.boosting import fit_boosted
+
+    r = random.Random(8)
+    x = [[r.randint(0, 6) + 0.0, r.random(), r.choice([0.0, 1.0])] for _ in range(80)]
+    y = [float(a + 3 * b + r.random() > 4.5) for a, b, _ in x]
+    edges = [sorted(set(np.quantile([v[j] for v in x], np.linspace(0, 1, 9)[1:-1]).tolist())) for j in range(3)]
+    rate0 = sum(y) / len(y)
+    margin = [float(np.log(rate0 / (1 - rate0)))] * len(y)
+    for _ in range(4):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        nodes = [list(range(len(y)))]
+        for _ in range(3):
+            following = []
+            for rows in nodes:
+                g, h = sum(y[k] - p[k] for k in rows), sum(p[k] * (1 - p[k]) for k in rows)
+                best = (1e-6, None)
+                for j in range(3):
+                    for cut in edges[j]:
+                        left = [k for k in rows if x[k][j] <= cut]
+                        gl, hl = sum(y[k] - p[k] for k in left), sum(p[k] * (1 - p[k]) for k in left)
+                        gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                        if hl >= 1 and h - hl >= 1 and gain > best[0] + 1e-12:
+                            best = (gain, (j, cut))
+                j, cut = best[1] or (0, float("inf"))
+                following += [[k for k in rows if x[k][j] <= cut], [k for k in rows if x[k][j] > cut]]
+            nodes = following
+        for rows in nodes:
+            step = sum(y[k] - p[k] for k in rows) / (sum(p[k] * (1 - p[k]) for k in rows) + 1)
+            for k in rows:
+                margin[k] += 0.2 * step
+    got = fit_boosted(np.array(x), np.array(y), trees=4, bins=8).margin(np.array(x))
+    assert np.allclose(got, margin, atol=1e-9)
+
+
+def test_isotonic_equals_the_max_min_formula():
+    from loomline.llm.boosting import fit_isotonic
+
+    r = np.random.default_rng(5)
+    m = np.sort(r.normal(size=60))
+    y = (r.random(60) < 1 / (1 + np.exp(-2 * m))).astype(float)
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    at, value = fit_isotonic(m, y)
+    assert np.allclose(value, sorted(set(np.round(want, 12))))
+    assert (np.diff(at) > 0).all() and len(at) == len(value)
+
+
+def test_mixture_inference_equals_plain_loops():
+    """EM by plain loops, and the penalised likelihood of every set of languages."""
+    from itertools import combinations
+    from math import log, log2
+
+    from loomline.llm.op05_language_id import PENALTY, LanguageModel, _em
+
+    r = np.random.default_rng(2)
+    probs = r.dirichlet(np.full(30, 0.2), size=4).T + 1e-6
+    probs /= probs.sum(axis=0)
+
+    def fit(chosen, n):
+        theta = [1 / len(chosen)] * len(chosen)
+        for _ in range(400):
+            new = [0.0] * len(chosen)
+            for slot, count in enumerate(n):
+                mix = sum(t * probs[slot, c] for t, c in zip(theta, chosen, strict=True))
+                for k, c in enumerate(chosen):
+                    new[k] += count * theta[k] * probs[slot, c] / mix / sum(n)
+            theta = new
+        return theta, sum(count * log(sum(t * probs[slot, c] for t, c in zip(theta, chosen, strict=True))) for slot, count in enumerate(n) if count)
+
+    model = LanguageModel(list("abcd"), probs)
+    for shares in ([1, 0, 0, 0], [0.6, 0.4, 0, 0], [0.3, 0, 0.3, 0.4], [0, 0, 1, 0]):
+        n = r.multinomial(400, probs @ np.array(shares))
+        sets = {c: fit(c, n.tolist()) for k in (1, 2, 3, 4) for c in combinations(range(4), k)}
+        best = max(sets, key=lambda c: sets[c][1] - PENALTY * log2(1 + n.sum()) * len(c))
+        lang, score, found = model.infer(n)
+        assert set(found) == {"abcd"[c] for c in best}
+        want = dict(zip(["abcd"[c] for c in best], sets[best][0], strict=True))
+        assert all(abs(found[k] - want[k]) < 0.02 for k in found) and lang == max(want, key=want.get) and abs(score - want[lang]) < 0.02
+        theta, like = _em(probs[:, list(best)], n.astype(float), np.full(len(best), 1 / len(best)), rounds=400)
+        assert abs(like - sets[best][1]) < 0.05
+
+
+def test_language_sample_leaves_no_rare_language_out(spark):
+    from loomline.llm.op05_language_id import fit_languages
+
+    made = [(i, "aba cdc " * 5, "common") for i in range(3000)] + [(5000 + i, "xyz zyx " * 5, "rare") for i in range(3)]
+    model = fit_languages(spark.createDataFrame(made, "doc_id long, text string, lang string"), F.lit(True), max_rows=40)
+    assert model.langs == ["common", "rare"]
+
+
+def test_mixing_draws(spark):
+    """Quotas are met exactly, blocks are used evenly, and shards draw as a multinomial does."""
+    from loomline.llm.op04_mixing import MixSettings, drawn_blocks
+
+    quotas = {0: (3000, 70), 1: (6000, 4000), 2: (999, 333)}
+    table = spark.createDataFrame([(s, q, b) for s, (q, b) in quotas.items()], "sid int, quota long, blocks long")
+    got = drawn_blocks(spark, table, MixSettings(shard_slots=100), 5).collect()
+    assert len(got) == len({r.slot for r in got}) == 9999 and Counter(r.sid for r in got) == {s: q for s, (q, _) in quotas.items()}
+    uses = Counter((r.sid, r.block) for r in got)
+    for s, (q, b) in quotas.items():
+        counts = [uses[s, k] for k in range(b)]
+        assert sum(counts) == q and min(counts) >= q // b and max(counts) <= -(-q // b)
+    shards = defaultdict(Counter)
+    for r in got:
+        shards[r.shard][r.sid] += 1
+    full = [c for c in shards.values() if sum(c.values()) == 100]
+    assert len(full) == 99
+    for s, (q, _) in quotas.items():
+        share = q / 9999
+        seen = np.var([c[s] for c in full])
+        assert 0.5 < seen / (100 * share * (1 - share)) < 1.7, s  # a fixed count for each shard would have none
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """What each stage does to planted documents, and the packing of the rows that are left."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    r, bad = random.Random(9), ["zorgul", "blarfed", "idiot"]
+    texts, toxic = {}, {}
+    for i in range(400):
+        w = words(40_000 + i, r.randint(30, 250)).split()
+        toxic[i] = int(i % 5 == 0)
+        for k in r.sample(range(len(w)), 5):
+            w[k] = r.choice(bad) + "." if toxic[i] else w[k] + "."
+        texts[i] = " ".join(w)
+    passage = ". ".join(words(50_000 + i, 12) for i in range(5)) + "."
+    texts[401] = "Some lines of its own here. " + passage
+    texts[402] = "Other lines stand here. " + passage + " And after it more."
+    near = words(51_000, 200)
+    texts[403], texts[404] = near, near.replace(near.split()[90], "changed", 1)
+    texts[405] = None
+    rows = [(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    current, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, current, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        current = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = current.collect()
+    left = {x.doc_id: x.text for x in kept["toxicity"]}
+    assert sum(toxic[i] for i in left if i in toxic) <= 4 and sum(1 - t for i, t in toxic.items() if i in left) >= 316 and {401, 402, 403, 404, 405} <= set(left)
+    lines = {x.doc_id: x.text for x in kept["line_dedup"]}
+    assert lines[401] == texts[401] and lines[402] == "Other lines stand here. And after it more." and set(lines) == set(left)
+    alone = {x.doc_id for x in kept["near_dedup"]}
+    assert 403 in alone and alone == set(lines) - {404}
+    sizes, taken = Counter(), Counter()
+    for x in kept["near_dedup"]:
+        sizes[x.source] += len((x.text or "").split())
+    for x in kept["mixing"]:
+        taken[x.source] += len((x.text or "").split())
+    total = sum(sizes.values())
+    assert abs(taken["a"] - total / 3) <= 200 and abs(taken["b"] - total * 2 / 3) <= 200
+    plain = Tokenizer.from_file(path)
+    want = Counter((x.doc_id, len(plain.encode(x.text or "", add_special_tokens=False).ids) + 1) for x in kept["mixing"])
+    assert Counter((x.doc_id, x.length) for x in kept["packing"]) == want  # none is long enough to be cut
+    fills = Counter()
+    for x in kept["packing"]:
+        fills[x.sequence_id] += x.length
+    assert max(fills.values()) <= 2048 and len(fills) <= -(-sum(fills.values()) // 2048) + 1
+
+
+def test_pipeline_on_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
