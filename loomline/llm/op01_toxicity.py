@@ -157,12 +157,16 @@ def _lexicon(rows, held_out: int | None) -> Lexicon:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = MAX_TRAINING_ROWS) -> ToxicityModel:
-    """Fit to the rows of ``labels`` (doc_id, toxic) where ``may_learn`` holds; a tie of labels is toxic."""
+    """Fit to the rows of ``labels`` (doc_id, toxic) where ``may_learn`` holds; a tie of labels is toxic.
+
+    Of rows that share an id one teaches, so a repeated id cannot make the sample grow.
+    """
     known = labels.where(may_learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_rows / max(1, total)))))
     # about max_rows ids at most, whatever the tables' size
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(FOLDS)).cast("int").alias("fold")).repartition(8)
+    one = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = one.select("text", "toxic", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(FOLDS)).cast("int").alias("fold"))
     counts = in_arrow(sample, _term_counts, "term string, fold int, context int, toxic int, n long")
     by_context = counts.groupBy("term", "fold", "context", "toxic").agg(F.sum("n").alias("n"))
     per_fold = lambda cond, what: F.array(*[F.coalesce(F.sum(F.when(cond & (F.col("fold") == f), what)), F.lit(0)) for f in range(FOLDS)])
