@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +72,14 @@ def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
 atexit.register(release)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Of the tables written inside, all but the last go at the end: the last holds the result, and nothing lazy may read the others."""
+    before = scratch_tables()
+    yield
+    release([t for t in scratch_tables() if t not in before][:-1])
+
+
 def packed(df: DataFrame, *keep: str) -> DataFrame:
     """Only the columns ``keep``, and all others by number in one struct ``_rest``: no name can clash with those of an operator."""
     rest = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in keep]
@@ -85,11 +96,16 @@ BATCH_ROWS = 2000
 
 
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches small enough for texts, on both sides of the pipe."""
+    """``df.mapInArrow`` with batches small enough for texts, on both sides of the pipe; a task's end gives unused Arrow memory back."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name) == "10000":
         conf.set(name, BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches, rows: int = 512, octets: int = 4 << 20):

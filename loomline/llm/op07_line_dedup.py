@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.common import in_arrow, let, materialize, may_hold, packed, row_key, survivors_bitmap, unpacked, word_count
+from loomline.llm.common import in_arrow, let, materialize, may_hold, packed, passing, row_key, survivors_bitmap, unpacked, word_count
 
 #: A repeated run has this many words at least.
 MIN_WORDS = 30
@@ -265,20 +265,22 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Earlier is a smaller doc_id, null ids last, then the place in the text.  A copy in the
     same text counts from the end of the first one on.
     """
-    lines = materialize(line_table(docs), "lines")
-    firsts, copies = _distinct(_islands(lines, min_words))
-    later = copies.unionByName(_runs(_suffixes(firsts, min_words)))
-
-    # overlapping runs become one range before they are gathered, so a row gets few
-    row = Window.partitionBy(*_KEY).orderBy("at", "at_end")
-    reached = F.max("at_end").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce((F.col("at") > reached + 1).cast("int"), F.lit(1))
-    ranges = (
-        later.withColumn("opens", opens).withColumn("range", F.sum("opens").over(row))
-        .groupBy(*_KEY, "range").agg(F.min("at").alias("at"), F.max("at_end").alias("at_end"))
-    )
-    cuts = ranges.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("at", "at_end"))).alias("cuts"))
-    return materialize(cuts, "lines-cuts")
+    with passing():
+        with passing():
+            islands = _islands(materialize(line_table(docs), "lines"), min_words)
+        firsts, copies = _distinct(islands)
+        later = copies.unionByName(_runs(_suffixes(firsts, min_words)))
+
+        # overlapping runs become one range before they are gathered, so a row gets few
+        row = Window.partitionBy(*_KEY).orderBy("at", "at_end")
+        reached = F.max("at_end").over(row.rowsBetween(Window.unboundedPreceding, -1))
+        opens = F.coalesce((F.col("at") > reached + 1).cast("int"), F.lit(1))
+        ranges = (
+            later.withColumn("opens", opens).withColumn("range", F.sum("opens").over(row))
+            .groupBy(*_KEY, "range").agg(F.min("at").alias("at"), F.max("at_end").alias("at_end"))
+        )
+        cuts = ranges.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("at", "at_end"))).alias("cuts"))
+        return materialize(cuts, "lines-cuts")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loomline.llm.common import in_arrow, materialize, slices
+from loomline.llm.common import in_arrow, materialize, passing, release, scratch_tables, slices
 
 BITS = 64
 SEED = 42
@@ -124,18 +124,21 @@ def links(nodes: DataFrame, count: int, hot_block: int = HOT_BLOCK) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node it reaches.
 
-    Large and small stars alternate until no edge moves; each round is written out, and the
-    number of rounds grows with the logarithm of the longest path.
+    Large and small stars alternate until no edge moves; each round is written out, the one
+    before it deleted, and the number of rounds grows with the logarithm of the longest path.
     """
     smaller = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     current = materialize(smaller, "links")
+    table = scratch_tables()[-1]
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, "v > u")
-        small = _star(large, None)
-        following = materialize(small, "links")
+        with passing():
+            large = _star(both, "v > u")
+            small = _star(large, None)
+            following = materialize(small, "links")
         moved = following.exceptAll(current).isEmpty() and current.exceptAll(following).isEmpty()
-        current = following
+        release([table])
+        current, table = following, scratch_tables()[-1]
         if moved:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 current.select("v", "v").distinct().toDF("node", "root")
@@ -174,8 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-marked")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), nodes.count(), hot_block))
-    return named(marked, roots, nodes)
+    with passing():
+        roots = components(links(nodes.select("fp"), nodes.count(), hot_block))
+        return named(marked, roots, nodes)
 
 
 def hex_digits(fp: Column) -> Column:
