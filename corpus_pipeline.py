@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import materialize, release, scratch_tables
 from loomline.llm.op01_toxicity import reject_toxic
-from loomline.llm.minhash import similar_groups
 from loomline.llm.op04_mixing import mixed_texts
 from loomline.llm.op06_packing import pack_documents
 from loomline.llm.op07_line_dedup import dedup_lines
+from loomline.llm.op09_simhash import similar_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -73,11 +73,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id.
 
-    Pairs with a similarity of 0.8 or more of their five-word shingles are near-duplicates.
+    Pairs with a similarity of 0.8 or more of their five-word shingles are near-duplicates;
+    SimHash finds them, and their shingles are compared.
     Rows without an id stay if their whole group has none.  Rows that share the smallest id
     stay together.
     """
-    found = similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     stay = materialize(found, "near-dedup-stay")
     return docs.join(stay.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 

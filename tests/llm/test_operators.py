@@ -203,6 +203,55 @@ def test_similar_groups(spark, rows, empty, hot_bucket):
     assert similar_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("full_block", [1024, 4])
+def test_similar_documents(spark, rows, empty, full_block):
+    """SimHash with an exact check gives the components of brute force; small sets and a group of copies that are not all alike included."""
+    from loomline.llm import op09_simhash as op9
+
+    def edited(text: str, seed: int, edits: int) -> str:
+        r, w = random.Random(seed), text.split()
+        for _ in range(edits):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        return " ".join(w)
+
+    texts = [(x[0], x[1]) for x in rows]
+    texts += [(1000 + 10 * k + e, edited(words(8000 + k, 200), 10 * k + e, e * (1 + k % 3))) for k in range(12) for e in range(8)]
+    texts += [(5000, words(8000, 200).upper())]
+    texts += [(6000 + i, edited(words(8100, 150), i, i % 9)) for i in range(700)]
+    for k in range(30):  # 4 to 14 shingles, and some words less at either end
+        w = words(9000 + k, 8 + k % 11).split()
+        texts += [(7000 + 10 * k, " ".join(w)), (7001 + 10 * k, " ".join(w[1:])), (7002 + 10 * k, " ".join(w[:-2])), (7003 + 10 * k, " ".join([*w[:-1], "other"]))]
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return frozenset(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) > 5 else frozenset([tuple(w)] if w else [])
+
+    made = [sets(t) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i, a in enumerate(made):
+        for j in range(i):
+            both = len(a & made[j])
+            if a == made[j] or both * 18 >= 8 * (len(a) + len(made[j])) > 0:
+                near += a != made[j]
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(texts):
+        least[find(i)] += [] if d is None else [d]
+    want = Counter((d, min(least[find(i)], default=None)) for i, (d, _) in enumerate(texts))
+    alone = sum(len(least[find(i)]) == 1 for i, (d, _) in enumerate(texts) if d and 6000 <= d < 6700)
+    assert near > 10_000 and 100 < alone < 600
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert Counter((x.doc_id, x.component_id) for x in op9.similar_documents(frame, full_block=full_block).collect()) == want
+    assert op9.similar_documents(empty).count() == 0
+
+
 def test_near_dedup_stage_drops_similar(spark, tmp_path):
     import corpus_pipeline
 
