@@ -262,6 +262,31 @@ def test_near_dedup_stage_drops_similar(spark, tmp_path):
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == [0, 2]
 
 
+def test_near_dedup_stage_makes_no_rows_for_pairs(spark, tmp_path, monkeypatch):
+    """A group of copies of which many are not similar enough: every table written for it has a few rows for each document, not one for each pair."""
+    import corpus_pipeline
+    from loomline.llm import minhash, op09_simhash
+
+    base, rows = words(8600, 150).split(), []
+    for i in range(300):
+        r, w = random.Random(i), list(base)
+        for _ in range(i % 9):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "a", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made, write = {}, op09_simhash.materialize
+
+    def counted(df, label):
+        written = write(df, label)
+        made[label] = max(made.get(label, 0), written.count())
+        return written
+
+    monkeypatch.setattr(op09_simhash, "materialize", counted)
+    monkeypatch.setattr(minhash, "materialize", counted)
+    assert 100 < corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).count() < 250
+    assert "simhash-links" in made and max(made.values()) <= 2 * len(rows), made
+
+
 def test_sharding(docs, rows, empty):
     from loomline.llm.op10_sharding import communication_matrix, shard_documents, shard_sizes, shuffled_shards
 
